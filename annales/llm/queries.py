@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from annales.llm.mixing import mix_report, mix_sources, source_sizes
 from annales.llm.splitting import split_oversized
+from annales.llm.survivor import field_values, survivors
 from annales.llm.tokens import token_count
+from annales.llm.visual import canonical
 from annales.sources.tables import table
 
 
@@ -22,6 +24,28 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "chunks"))
 
 
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_values(table(spark, sf_dir, "entities"), table(spark, sf_dir, "entity_sources"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors(_fields(spark, sf_dir)).select("id", "field_name", "rec_id")
+
+
+def p5_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors(_fields(spark, sf_dir), "additive")
+
+
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "entities").select(F.struct(F.lit("entities").alias("tbl"), F.col("rec_id").alias("row_id")).alias("at"), F.col("name").alias("value"))
+    evidence = table(spark, sf_dir, "triplets").select(F.struct(F.lit("triplets").alias("tbl"), F.col("triplet_id").alias("row_id")).alias("at"), F.col("evidence").alias("value"))
+    return canonical(names.unionByName(evidence), "at", "value").select("at.tbl", "at.row_id", "value", "canonical", "changed")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_forms(spark, sf_dir).where("changed AND row_id IS NOT NULL").select("tbl", "row_id").distinct()
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_sizes(table(spark, sf_dir, "documents"), token_count(F.col("text")))
 
@@ -40,7 +64,7 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_pieces": p4_pieces, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture}
+    return {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p6_forms": p6_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture}
 
 
 P4_FOUND = "SELECT DISTINCT id FROM chunks WHERE length(text) > 2400"
