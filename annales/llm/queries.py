@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annales.llm.mixing import mix_report, mix_sources, source_sizes
+from annales.llm.neighbours import similar_vectors
 from annales.llm.splitting import split_oversized
 from annales.llm.survivor import field_values, survivors
 from annales.llm.tokens import token_count
@@ -15,6 +16,18 @@ from annales.llm.visual import canonical
 from annales.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar_vectors(table(spark, sf_dir, "chunks"), k=5, least=0.85)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest, among all chunks, of every chunk delivered under a load_seq divisible by 20."""
+    chunks = table(spark, sf_dir, "chunks")
+    queries = chunks.where("load_seq % 20 = 0").select("id")
+    return similar_vectors(chunks, k=5, queries=queries).select("id", "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = split_oversized(table(spark, sf_dir, "chunks"), only_oversized=True)
     return pieces.where((F.col("piece_index") == 0) & (F.col("n_pieces") > 1)).select("id")
@@ -64,7 +77,7 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p6_forms": p6_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p6_forms": p6_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture}
 
 
 P4_FOUND = "SELECT DISTINCT id FROM chunks WHERE length(text) > 2400"

@@ -86,7 +86,7 @@ def canonical(df: DataFrame, key: str, value: str) -> DataFrame:
     `canonical` is the value with ordinary composed characters in place of
     full-width and other compatibility forms, combining sequences, invisible
     characters, unusual spaces and look-alike letters inside words that also
-    have Latin letters. Curly quotes, dashes, ellipses and words wholly in
+    have Latin letters or alone among Latin words. Curly quotes, dashes, ellipses and words wholly in
     another script stay. Null values stay null and unchanged; empty strings
     stay empty; a value of invisible characters alone becomes empty. Rows that
     repeat key and value count once; null keys are kept. Texts of any length
@@ -100,7 +100,9 @@ def canonical(df: DataFrame, key: str, value: str) -> DataFrame:
     # One row per odd value and word, then per code point.
     strange = rows.where(odd).distinct()
     words = strange.select("_key", "_value", F.posexplode(F.regexp_extract_all("_value", F.lit(_WORDS), F.lit(0))).alias("_w", "_word"))
-    mixed = F.col("_word").rlike(r"\p{IsLatin}") & F.col("_word").rlike(_LOOKALIKE_CLASS)
+    # A single letter is no word of another script where the rest of the value is Latin.
+    lone = F.col("_word").rlike(rf"^[\p{{M}}\p{{Cf}}]*{_LOOKALIKE_CLASS}[\p{{M}}\p{{Cf}}]*$") & F.col("_value").rlike(r"\p{IsLatin}")
+    mixed = (F.col("_word").rlike(r"\p{IsLatin}") & F.col("_word").rlike(_LOOKALIKE_CLASS)) | lone
     points = words.select("_key", "_value", "_w", mixed.alias("_mixed"), F.posexplode(F.regexp_extract_all("_word", F.lit("(?s)."), F.lit(0))).alias("_p", "_c"))
     swap = _broadcast(spark, replace, "_c string, _to string")
     alike = _broadcast(spark, list(LOOKALIKES.items()), "_c string, _latin string")
