@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annales.llm.leakage import leaked_items
 from annales.llm.mixing import mix_report, mix_sources, source_sizes
 from annales.llm.neighbours import similar_vectors
 from annales.llm.splitting import split_oversized
@@ -59,6 +60,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_forms(spark, sf_dir).where("changed AND row_id IS NOT NULL").select("tbl", "row_id").distinct()
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words", "n_equal")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_sizes(table(spark, sf_dir, "documents"), token_count(F.col("text")))
 
@@ -77,7 +87,7 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p6_forms": p6_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture}
 
 
 P4_FOUND = "SELECT DISTINCT id FROM chunks WHERE length(text) > 2400"
