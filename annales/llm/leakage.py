@@ -31,6 +31,10 @@ LEAST_WORDS = 20
 #: Share of words in the stretch that must be the same, and the most words in a row that may differ.
 LEAST_SAME = 0.75
 MOST_REPLACED = 2
+#: Equal words of a stretch that must be the item's own: outside runs of STOCK_RUN words that STOCK_ITEMS items share.
+LEAST_OWN = 8
+STOCK_RUN = 5
+STOCK_ITEMS = 3
 #: Words by which document and item may drift apart within one stretch (words put between or left out).
 DRIFT = 12
 #: Words of test items that travel in one pass over the corpus; larger sets take several passes.
@@ -82,12 +86,28 @@ class Probe:
         self.padded = np.concatenate([np.full(REACH, -1), self.text, np.full(REACH, -1)]).astype(np.int32)
         self.masks = [np.flatnonzero(np.array(list(m)) == "1") for m in MASKS]
         self.mult = np.random.default_rng(5).integers(1, 2**62, max(len(m) for m in self.masks), dtype=np.int64) * 2 + 1
+        self.own = np.concatenate([np.zeros(REACH, bool), self._own_words(texts), np.zeros(REACH, bool)])
         self.tables = []
         for mask in self.masks:
             keys, at = self._hash(self.text, mask)
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], at[order]))
 
+    def _own_words(self, texts: list[tuple[int, list[str]]]) -> np.ndarray:
+        """Words outside the stock runs that several items share, in the order of the test texts."""
+        shared: dict[tuple, set] = {}
+        for item, body in texts:
+            for k in range(len(body) - STOCK_RUN + 1):
+                shared.setdefault(tuple(body[k : k + STOCK_RUN]), set()).add(item)
+        own = []
+        for _, body in texts:
+            mine = [True] * len(body) + [False]
+            for k in range(len(body) - STOCK_RUN + 1):
+                if len(shared[tuple(body[k : k + STOCK_RUN])]) >= STOCK_ITEMS:
+                    mine[k : k + STOCK_RUN] = [False] * STOCK_RUN
+            own += mine
+        return np.array(own, bool)
+
     def _hash(self, seq: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the windows of which every kept word is known, and where these start."""
         n = len(seq) - mask[-1]
@@ -128,9 +148,8 @@ class Probe:
         first = np.r_[True, (d[1:] != d[:-1]) | (p[1:] - p[:-1] > 8)]
         return p[first], q[first]
 
-    def stretches(self, seq: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end on the item's side and number of equal words of the stretch through each meeting."""
-        padded = np.concatenate([np.full(REACH, -2), seq, np.full(REACH, -2)]).astype(np.int32)
+    def stretches(self, padded: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end on the item's side, equal words and equal own words of the stretch through each meeting."""
         offsets = np.arange(-REACH, REACH)
         mine, theirs = padded[p[:, None] + REACH + offsets], self.padded[q[:, None] + REACH + offsets]
         same = (mine == theirs) & (mine > 0)
@@ -144,8 +163,12 @@ class Probe:
             stop = np.where(broken.any(axis=1), broken.argmax(axis=1), part.shape[1]) - 1
             ends.append(np.where(stop >= 0, last[np.arange(n), np.maximum(stop, 0)], -1))
         high, low = mid + ends[0] + 1, mid - ends[1] - 1
-        total = np.concatenate([np.zeros((n, 1), int), np.cumsum(same, axis=1)], axis=1)
-        return q + low - mid, q + high - mid, total[np.arange(n), high] - total[np.arange(n), low]
+        at = np.arange(n)
+        counts = []
+        for part in (same, same & self.own[q[:, None] + REACH + offsets]):
+            total = np.concatenate([np.zeros((n, 1), np.int16), np.cumsum(part, axis=1, dtype=np.int16)], axis=1)
+            counts.append(total[at, high].astype(np.int64) - total[at, low])
+        return q + low - mid, q + high - mid, *counts
 
     def leaks(self, seq: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document number, item, words of the stretch, equal words), the longest stretch of each pair.
@@ -155,16 +178,16 @@ class Probe:
         p, q = self.meetings(seq)
         if not len(p):
             return (np.empty(0, np.int64),) * 4
-        low, high, equal = np.empty_like(p), np.empty_like(p), np.empty_like(p)
-        for a in range(0, len(p), 100_000):
-            low[a : a + 100_000], high[a : a + 100_000], equal[a : a + 100_000] = self.stretches(seq, p[a : a + 100_000], q[a : a + 100_000])
+        padded = np.concatenate([np.full(REACH, -2), seq, np.full(REACH, -2)]).astype(np.int32)
+        parts = [self.stretches(padded, p[a : a + 50_000], q[a : a + 50_000]) for a in range(0, len(p), 50_000)]
+        low, high, equal, own = (np.concatenate(x) for x in zip(*parts))
         doc = np.searchsorted(edges, p, side="right") - 1
         text = np.searchsorted(self.starts, q, side="right") - 1
         # Parts of one stretch on neighbouring diagonals are joined where words were put between or left out.
-        rows = np.unique(np.stack([doc, text, low, high, p - q, equal], axis=1), axis=0)
-        doc, text, low, high, drift, equal = rows.T
+        rows = np.unique(np.stack([doc, text, low, high, p - q, equal, own], axis=1), axis=0)
+        doc, text, low, high, drift, equal, own = rows.T
         span = high - low
-        good = (span >= LEAST_WORDS) & (equal >= LEAST_SAME * span)
+        good = (span >= LEAST_WORDS) & (equal >= LEAST_SAME * span) & (own >= LEAST_OWN)
         pair = doc * len(self.owner) + text
         loose = ~np.isin(pair, pair[good])
         many = np.flatnonzero(loose)
@@ -173,7 +196,7 @@ class Probe:
             order = np.lexsort((low[many], pair[many]))
             many = many[order]
             cuts = np.flatnonzero(np.r_[True, pair[many][1:] != pair[many][:-1], True])
-            joined = [self._joined(low[m], high[m], drift[m], equal[m], doc[m[0]], text[m[0]]) for m in (many[a:b] for a, b in zip(cuts[:-1], cuts[1:])) if len(m) > 1]
+            joined = [self._joined(low[m], high[m], drift[m], equal[m], own[m], doc[m[0]], text[m[0]]) for m in (many[a:b] for a, b in zip(cuts[:-1], cuts[1:])) if len(m) > 1]
             joined = [x for x in joined if x]
             if joined:
                 found.append(tuple(np.array(x) for x in zip(*joined)))
@@ -185,20 +208,20 @@ class Probe:
         return doc[first], item[first], span[first], equal[first]
 
     @staticmethod
-    def _joined(low, high, drift, equal, doc, text) -> tuple[int, int, int, int] | None:
+    def _joined(low, high, drift, equal, own, doc, text) -> tuple[int, int, int, int] | None:
         """The longest chain of stretches of one pair of texts that follow each other with little drift."""
         best = None
         chains: list[tuple[int, int, int, int, int]] = []
-        for a, b, d, e in zip(low, high, drift, equal):
-            options = [(a, b, d, e)]
-            for ca, cb, cd, ce in chains:
+        for a, b, d, e, o in zip(low, high, drift, equal, own):
+            options = [(a, b, d, e, o)]
+            for ca, cb, cd, ce, co in chains:
                 gap = a - cb
                 if -8 <= gap <= MOST_REPLACED and b > cb and 0 < abs(d - cd) <= DRIFT:
-                    options.append((ca, b, d, ce + e - max(0, -gap)))
+                    options.append((ca, b, d, ce + e - max(0, -gap), co + o - max(0, -gap)))
             one = max(options, key=lambda x: (x[1] - x[0], x[3]))
             chains.append(one)
             span = one[1] - one[0]
-            if span >= LEAST_WORDS and one[3] >= LEAST_SAME * span and (best is None or (span, one[3]) > best[2:]):
+            if span >= LEAST_WORDS and one[3] >= LEAST_SAME * span and one[4] >= LEAST_OWN and (best is None or (span, one[3]) > best[2:]):
                 best = (int(doc), int(text), int(span), int(one[3]))
         return best
 
@@ -224,8 +247,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """(doc, item, n_words, n_equal): documents that repeat a stretch of a test item's text, the longest per pair.
 
     A leak is a stretch of at least LEAST_WORDS words of one field, in order, of
-    which LEAST_SAME are the same and never more than MOST_REPLACED in a row
-    differ; case, accents, character forms, punctuation, spacing, tags and small
+    which LEAST_SAME are the same, LEAST_OWN of them outside phrases that many
+    items share, and never more than MOST_REPLACED in a row differ; case, accents, character forms, punctuation, spacing, tags and small
     numbers don't count, and short insertions don't break it. Null and empty
     texts leak nothing, as do fields shorter than a mask. Repeated rows give one
     result row. Documents are read whole, whatever their length.
