@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annales.llm.leakage import leaked_items
 from annales.llm.mixing import mix_report, mix_sources, source_sizes
 from annales.llm.neighbours import similar_vectors
+from annales.llm.spam import spam_scores
 from annales.llm.splitting import split_oversized
 from annales.llm.survivor import field_values, survivors
 from annales.llm.tokens import token_count
@@ -86,8 +87,17 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = spam_scores(table(spark, sf_dir, "documents"))
+    return scores.select(F.col("doc").alias("doc_id"), "n_words", F.round("abnormal_share", 6).alias("abnormal_share"), F.round("mean_cost", 6).alias("mean_cost"), "spam")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_scores(table(spark, sf_dir, "documents")).where("spam").select(F.col("doc").alias("doc_id")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_scores": p9_scores}
 
 
 P4_FOUND = "SELECT DISTINCT id FROM chunks WHERE length(text) > 2400"
