@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annales.llm.leakage import leaked_items
 from annales.llm.mixing import mix_report, mix_sources, source_sizes
+from annales.llm.names import name_links, same_names
 from annales.llm.neighbours import similar_vectors
 from annales.llm.spam import spam_scores
 from annales.llm.splitting import split_oversized
@@ -30,6 +31,14 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(chunks, k=5, queries=queries).select("id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_names(table(spark, sf_dir, "entities"))
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_links(table(spark, sf_dir, "entities")).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("score", 4).alias("score"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = split_oversized(table(spark, sf_dir, "chunks"), only_oversized=True)
     return pieces.where((F.col("piece_index") == 0) & (F.col("n_pieces") > 1)).select("id")
@@ -97,7 +106,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_scores": p9_scores}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_scores": p9_scores}
 
 
 P4_FOUND = "SELECT DISTINCT id FROM chunks WHERE length(text) > 2400"
