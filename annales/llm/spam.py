@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,11 @@ PROSE_SENTENCES = 0.9
 PROSE_REPEATS = 0.5
 #: Share of a page's words that must lie in abnormal text.
 FLAG_SHARE = 0.5
+#: Costs of windows are told in this many steps of so many nats.
+STEPS, STEP = 128, 0.08
 #: A window is abnormal where its cost exceeds this share of the windows of prose, or falls below LOW times the
 #: cost that all but one in a thousand of them exceed.
-HIGH, LOW = 0.998, 0.5
+HIGH, LOW = 0.996, 0.5
 
 #: Prose pages: most words that may be neither function words nor names.
 PROSE_RARE = 0.1
@@ -45,13 +48,14 @@ NAME_RUN = 5
 CLASSES = ("<page>", "<name>", "<word>", "<number>", "<address>", "<tag>", "<link>", "<sign>", "<stop>", "<comma>")
 PAGE, NAME, WORD, NUMBER, ADDRESS, TAG, LINK, SIGN, STOP, COMMA = range(len(CLASSES))
 # A link that opens a line is a class of its own; inside a line only its words count, and so it is with
-# line ends, brackets, quotes and markup.
-_TOKEN = re.compile(r"(?m)^[^\w\n]{0,4}\[\[|^[ \t]*[-*+•»–—]+[ \t]|https?://\S+|www\.\S+|#\w+|\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?…]+|[,;:/|–—·•]|[^\w\s.,;:()\"“”‘’'\[\]<>=_#]+")
+# line ends, brackets, quotes and markup. The commonest alternatives come first.
+_TOKEN = re.compile(r"(?m)https?://\S+|www\.\S+|[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,]\d+)*|#\w+|^[^\w\n]{0,4}\[\[|^[ \t]*[-*+•»–—]+[ \t]|[.!?…]+|[,;:/|–—·•]|[^\w\s.,;:()\"“”‘’'\[\]<>=_#]+")
 _LINE_LINK = re.compile(r"(?m)^[^\w\n<]{0,4}<[aA]\b[^<>]{0,400}>")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _INVISIBLE = re.compile("[­͏​-‏⁠﻿︀-️]")
-#: Codes hold the code inside a sentence below this and the code at its start above.
-_SHIFT = 1 << 20
+#: Raw codes: classes stay below WORDS; words are WORDS + 4 * hash + 2 * all capitals + capital.
+WORDS = 16
+_HASHES = 1 << 28
 
 
 def fold(word: str) -> str:
@@ -69,67 +73,68 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
-class Reader(dict):
-    """Codes of tokens under a list of function words; remembered per worker."""
-
-    def __init__(self, function: list[str]) -> None:
-        self.function = {w: i + len(CLASSES) for i, w in enumerate(function)}
+class Coder(dict):
+    """Raw codes of tokens, remembered per worker. Two words share a code with a chance of one in 2^28."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > 400_000:
             self.clear()
         first = token[0]
         if token[-2:] == "[[":
-            inside = start = LINK
+            code = LINK
         elif first.isalpha():
-            known = self.function.get(fold(token))
             if "://" in token or token[:4] == "www.":
-                inside = start = ADDRESS
-            elif first != first.lower():
-                start = known if known is not None else NAME
-                # Text set in capitals throughout has its function words in capitals too.
-                inside = start if len(token) > 1 and token.isupper() else NAME
+                code = ADDRESS
             else:
-                inside = start = known if known is not None else WORD
+                h = zlib.crc32(fold(token).encode()) % _HASHES
+                capital = first != first.lower()
+                code = WORDS + 4 * h + 2 * (capital and len(token) > 1 and token.isupper()) + capital
         elif first.isdigit():
-            inside = start = NUMBER
+            code = NUMBER
         elif first == "#" and len(token) > 1:
-            inside = start = TAG
+            code = TAG
         elif first in ".!?…":
-            inside = start = STOP
+            code = STOP
         elif token in ",;:/|–—·•":
-            inside = start = COMMA
+            code = COMMA
         else:
-            inside = start = SIGN
-        code = self[token] = inside + start * _SHIFT
+            code = SIGN
+        self[token] = code
         return code
 
-    def pages(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, weights, starts): class sequences of the pages, each opened and closed by a page mark.
-
-        A run of up to NAME_RUN names or rare words is one token that weighs as
-        many words as it has; signs and marks weigh nothing.
-        """
-        raw, starts = [], []
-        for text in texts:
-            starts.append(len(raw))
-            raw.append(PAGE)
-            if text:
-                raw += [self[t] for t in tokens(text)]
-            raw.append(PAGE)
-        both = np.array(raw, np.int64)
-        n, starts = len(both), np.array(starts, np.int64)
-        inside, start = both % _SHIFT, both // _SHIFT
-        opens = np.r_[True, np.isin(inside[:-1], (PAGE, STOP, SIGN, LINK))][:n]
-        codes = np.where(opens, start, inside)
-        words = (codes == NAME) | (codes == WORD) | (codes >= len(CLASSES)) | (codes == NUMBER) | (codes == TAG) | (codes == ADDRESS)
-        # The place in a run of names or rare words decides where the run's next token begins.
-        at = np.arange(n)
-        began = np.maximum.accumulate(np.where(np.r_[True, codes[1:] != codes[:-1]], at, -1))
-        keep = ((codes != NAME) & (codes != WORD)) | ((at - began) % NAME_RUN == 0)
-        group = np.cumsum(keep) - 1
-        weights = np.bincount(group, weights=words, minlength=group[-1] + 1 if n else 0)
-        return codes[keep], weights, group[starts]
+    def page(self, text: str | None) -> bytes:
+        """The page as raw codes between two page marks."""
+        return np.array([PAGE, *[self[t] for t in tokens(text)], PAGE] if text else [PAGE, PAGE], np.int32).tobytes()
+
+
+def classes(raw: np.ndarray, starts: np.ndarray, function: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, weights, starts): class sequences of pages, given the sorted hashes of function words.
+
+    A capitalised word is a name inside a sentence; at its start, or in text set
+    in capitals, it is the function word it looks like. A run of up to NAME_RUN
+    names or rare words is one token that weighs as many words as it has; signs
+    and marks weigh nothing.
+    """
+    n = len(raw)
+    word = raw >= WORDS
+    h = (raw.astype(np.int64) - WORDS) >> 2
+    if len(function):
+        at = np.minimum(np.searchsorted(function, h), len(function) - 1)
+        known = word & (function[at] == h)
+    else:
+        at, known = np.zeros(n, np.int64), np.zeros(n, bool)
+    capital, capitals = word & ((raw - WORDS) & 1 > 0), word & ((raw - WORDS) & 2 > 0)
+    mark = np.where(word, PAGE, raw)
+    opens = np.r_[True, ~word[:-1] & np.isin(mark[:-1], (PAGE, STOP, SIGN, LINK))][:n]
+    codes = np.where(word, np.where(known & (~capital | opens | capitals), at + len(CLASSES), np.where(capital, NAME, WORD)), raw).astype(np.int64)
+    counts = word | np.isin(codes, (NUMBER, TAG, ADDRESS))
+    # The place in a run of names or rare words decides where the run's next token begins.
+    place = np.arange(n)
+    began = np.maximum.accumulate(np.where(np.r_[True, codes[1:] != codes[:-1]][:n], place, -1))
+    keep = ((codes != NAME) & (codes != WORD)) | ((place - began) % NAME_RUN == 0)
+    group = np.cumsum(keep) - 1
+    weights = np.bincount(group, weights=counts, minlength=group[-1] + 1 if n else 0)
+    return codes[keep], weights, group[starts]
 
 
 def _page_of(starts: np.ndarray, n: int) -> np.ndarray:
@@ -173,6 +178,15 @@ def _repeats(codes: np.ndarray, page: np.ndarray, pages: int) -> np.ndarray:
     return 1 - distinct / np.maximum(every, 1)
 
 
+def _before(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code two before and the code before each, page marks at the start of a page."""
+    one, two = np.r_[PAGE, codes[:-1]], np.r_[PAGE, PAGE, codes[:-2]][: len(codes)]
+    one[starts] = PAGE
+    two[starts] = PAGE
+    two[np.minimum(starts + 1, len(codes) - 1)] = PAGE
+    return two, one
+
+
 class Trigrams:
     """Costs of tokens in nats, interpolating trigram, bigram and unigram estimates (Witten-Bell)."""
 
@@ -204,10 +218,7 @@ class Trigrams:
 
     def costs(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Cost of each token given the two before it on its page."""
-        one, two = np.r_[PAGE, codes[:-1]], np.r_[PAGE, PAGE, codes[:-2]][: len(codes)]
-        one[starts] = PAGE
-        two[starts] = PAGE
-        two[np.minimum(starts + 1, len(codes) - 1)] = PAGE
+        two, one = _before(codes, starts)
         p = self.p1[codes]
         h, t = self.h2[one], self.t2[one]
         p = np.where(h > 0, (self._look(self.kb, self.cb, one * self.size + codes) + t * p) / np.maximum(h + t, 1), p)
@@ -230,78 +241,58 @@ def windowed(values: np.ndarray, starts: np.ndarray, width: int = WINDOW) -> np.
     return (total[high] - total[low]) / np.maximum(high - low, 1)
 
 
-def _counts(docs: DataFrame, function: list[str]) -> DataFrame:
-    """(key, n): trigrams of prose pages; keys are numbers in base of the number of codes."""
-    size = len(CLASSES) + len(function)
+def _pages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(raw codes of all pages of a batch, start of each page)."""
+    column = batch.column("raw")
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int32)
+    return data, (offsets[:-1] - offsets[0]).astype(np.int64) // 4
+
+
+def _function_words(pages: DataFrame) -> np.ndarray:
+    """Sorted hashes of words in lower case of FUNCTION_SHARE of the prose pages or more; of the commonest, MOST_FUNCTION."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(function)
         for batch in batches:
-            codes, weights, starts = reader.pages(batch.column("text").to_pylist())
-            if not len(codes):
+            raw, starts = _pages(batch)
+            if not len(starts):
                 continue
-            good = prose_pages(codes, weights, starts)[_page_of(starts, len(codes))]
-            one, two = np.r_[PAGE, codes[:-1]], np.r_[PAGE, PAGE, codes[:-2]][: len(codes)]
-            one[starts] = PAGE
-            two[starts] = PAGE
-            two[np.minimum(starts + 1, len(codes) - 1)] = PAGE
-            keys, n = np.unique(((two * size + one) * size + codes)[good], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+            # Before function words are known each lower-case word is a code of its own.
+            lower = (raw >= WORDS) & ((raw - WORDS) & 1 == 0)
+            codes = np.where(lower, ((raw.astype(np.int64) - WORDS) >> 2) + len(CLASSES), np.where(raw >= WORDS, NAME, raw))
+            weights = ((raw >= WORDS) | np.isin(raw, (NUMBER, TAG, ADDRESS))).astype(float)
+            good = prose_pages(codes, weights, starts, known=False)
+            page = _page_of(starts, len(codes))
+            inside = lower & good[page]
+            once = np.unique(page[inside] * _HASHES + codes[inside] - len(CLASSES)) % _HASHES
+            h, n = np.unique(once, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[h, -1]), pa.array(np.r_[n, good.sum()].astype(np.int64))], names=["h", "n"])
 
-    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = pages.select("raw").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).checkpoint()
+    total = counted.where("h = -1").agg(F.sum("n")).first()[0] or 0
+    common = counted.where((F.col("h") >= 0) & (F.col("n") >= max(2, FUNCTION_SHARE * total)))
+    rows = common.orderBy(F.col("n").desc(), "h").limit(MOST_FUNCTION).select("h").toPandas()
+    return np.sort(rows["h"].to_numpy(np.int64))
 
 
-def _function_words(docs: DataFrame) -> list[str]:
-    """Folded words in lower case of FUNCTION_SHARE of the prose pages or more, commonest first, at most MOST_FUNCTION."""
+def _trigrams(pages: DataFrame, function: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the trigrams of prose pages; keys are numbers in base of the number of codes."""
+    size = len(CLASSES) + len(function)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folded: dict[str, str] = {}
         for batch in batches:
-            pages = [tokens(t) if t else [] for t in batch.column("text").to_pylist()]
-            # Before function words are known each lower-case word is a code of its own.
-            codes, weights, starts, numbers = _plain_codes(pages, folded)
-            seen = np.zeros(len(numbers) + 1, np.int64)
-            good = np.flatnonzero(prose_pages(codes, weights, starts, known=False))
-            page = _page_of(starts, len(codes))
-            inside = np.isin(page, good) & (codes >= len(CLASSES))
-            pairs = np.unique(page[inside] * (len(numbers) + len(CLASSES) + 1) + codes[inside]) % (len(numbers) + len(CLASSES) + 1)
-            code, n = np.unique(pairs, return_counts=True)
-            seen[code - len(CLASSES)] = n
-            yield pa.RecordBatch.from_arrays([pa.array([*numbers, ""]), pa.array([*seen[:-1], len(good)], pa.int64())], names=["word", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "word string, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n")).checkpoint()
-    pages = counted.where(F.col("word") == "").agg(F.sum("n")).first()[0] or 0
-    common = counted.where((F.col("word") != "") & (F.col("n") >= max(2, FUNCTION_SHARE * pages)))
-    return [r["word"] for r in common.orderBy(F.col("n").desc(), "word").limit(MOST_FUNCTION).collect()]
-
-
-def _plain_codes(pages: list[list[str]], folded: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
-    """Codes, weights, starts of pages under the batch's own vocabulary, and that vocabulary."""
-    if len(folded) > 400_000:
-        folded.clear()
-    numbers: dict[str, int] = {}
-    memo: dict[str, int] = {}
-    bare = Reader([])
-
-    def code(token: str) -> int:
-        if not token[0].islower() or "://" in token or token[:4] == "www." or token[-2:] == "[[":
-            return bare[token] % _SHIFT
-        if (plain := folded.get(token)) is None:
-            plain = folded[token] = fold(token)
-        return numbers.setdefault(plain, len(numbers)) + len(CLASSES)
-
-    codes, starts = [], []
-    for page in pages:
-        starts.append(len(codes))
-        codes.append(PAGE)
-        for token in page:
-            if (c := memo.get(token)) is None:
-                c = memo[token] = code(token)
-            codes.append(c)
-        codes.append(PAGE)
-    codes = np.array(codes, np.int64)
-    weights = ((codes >= len(CLASSES)) | np.isin(codes, (NAME, WORD, NUMBER, TAG, ADDRESS))).astype(float)
-    return codes, weights, np.array(starts, np.int64), numbers
+            raw, starts = _pages(batch)
+            if not len(starts):
+                continue
+            codes, weights, starts = classes(raw, starts, function)
+            good = prose_pages(codes, weights, starts)[_page_of(starts, len(codes))]
+            two, one = _before(codes, starts)
+            keys, n = np.unique(((two * size + one) * size + codes)[good], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    # The model is bounded by its vocabulary, not by the corpus: trigrams of MOST_FUNCTION words seen in prose.
+    model = pages.select("raw").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    return model["key"].to_numpy(np.int64), model["n"].to_numpy(np.int64)
 
 
 def spam_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -317,44 +308,63 @@ def spam_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     ensure_checkpoint_dir(spark)
     kind = dict(docs.dtypes)[key]
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
-    function = _function_words(rows)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder()
+        for batch in batches:
+            raw = [coder.page(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(raw, pa.binary())], names=["doc", "raw"])
+
+    # Texts are tokenised once; the passes that follow read codes of four bytes a word.
+    pages = rows.mapInArrow(read, f"doc {kind}, raw binary").checkpoint()
+    function = _function_words(pages)
+    keys, counts = _trigrams(pages, function)
     size = len(CLASSES) + len(function)
-    # The model is bounded by its vocabulary, not by the corpus: trigrams of MOST_FUNCTION words seen in prose.
-    model = _counts(rows, function).toPandas()
-    keys, counts = model["key"].to_numpy(np.int64), model["n"].to_numpy(np.int64)
-    packed = spark.sparkContext.broadcast((function, keys, counts))
     if not len(keys):
-        return rows.select("doc", F.lit(0).alias("n_words"), F.lit(None).cast("double").alias("abnormal_share"), F.lit(None).cast("double").alias("mean_cost"), F.lit(False).alias("spam"))
+        return pages.select("doc", F.lit(0).alias("n_words"), F.lit(None).cast("double").alias("abnormal_share"), F.lit(None).cast("double").alias("mean_cost"), F.lit(False).alias("spam"))
+    packed = spark.sparkContext.broadcast((function, keys, counts))
 
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, k, c = packed.value
-        reader, trigrams = Reader(words), Trigrams(size, k, c)
+        trigrams = Trigrams(size, k, c)
         for batch in batches:
-            codes, weights, starts = reader.pages(batch.column("text").to_pylist())
-            good = prose_pages(codes, weights, starts)[_page_of(starts, len(codes))]
-            cost = windowed(trigrams.costs(codes, starts), starts)[good]
-            value, n = np.unique(np.round(cost, 2), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], names=["cost", "n"])
+            raw, starts = _pages(batch)
+            if not len(starts):
+                continue
+            codes, weights, starts = classes(raw, starts, words)
+            page, pages = _page_of(starts, len(codes)), len(starts)
+            cost = trigrams.costs(codes, starts)
+            step = np.minimum(windowed(cost, starts) / STEP, STEPS - 1).astype(np.int64)
+            spread = np.bincount(page * STEPS + step, weights, pages * STEPS).reshape(pages, STEPS).astype(np.float32)
+            good = prose_pages(codes, weights, starts)[page]
+            normal = np.zeros((pages, STEPS), np.int64)
+            normal[0] = np.bincount(step[good], minlength=STEPS)
+            mean = np.bincount(page, cost, pages) / np.bincount(page, minlength=pages)
+            binary = pa.array([r.tobytes() for r in spread], pa.binary())
+            # The batch's prose is told once, with its first page.
+            prose = pa.array([normal[0].tobytes()] + [None] * (pages - 1), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.bincount(page, weights, pages).astype(np.int32)), pa.array(mean), binary, prose], names=["doc", "n_words", "mean_cost", "spread", "prose"])
+
+    # Words of each page by the cost around them, in steps: bounds and shares both follow from these.
+    spreads = pages.mapInArrow(score, f"doc {kind}, n_words int, mean_cost double, spread binary, prose binary").checkpoint()
+
+    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(STEPS, np.int64)
+        for batch in batches:
+            for x in batch.column("prose").to_pylist():
+                total += np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS)), pa.array(total)], names=["step", "n"])
 
-    spread = rows.select("text").mapInArrow(bounds, "cost double, n long").groupBy("cost").agg(F.sum("n").alias("n")).toPandas().sort_values("cost")
-    share = (spread["n"].cumsum() / spread["n"].sum()).to_numpy()
-    cost = spread["cost"].to_numpy()
-    high, low = cost[np.searchsorted(share, HIGH)], LOW * cost[np.searchsorted(share, 0.001)]
+    told = spreads.where("prose IS NOT NULL").select("prose").mapInArrow(normal, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").toPandas()
+    share = (told["n"].cumsum() / max(1, told["n"].sum())).to_numpy()
+    high, low = int(np.searchsorted(share, HIGH)), int(LOW * np.searchsorted(share, 1 - HIGH))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, k, c = packed.value
-        reader, trigrams = Reader(words), Trigrams(size, k, c)
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, weights, starts = reader.pages(batch.column("text").to_pylist())
-            page = _page_of(starts, len(codes))
-            raw = trigrams.costs(codes, starts)
-            around = windowed(raw, starts)
-            odd = (around > high) | (around < low)
-            total = np.bincount(page, weights, len(starts))
-            bad = np.bincount(page, weights * odd, len(starts))
-            tokens = np.bincount(page, minlength=len(starts))
-            mean = np.bincount(page, raw, len(starts)) / np.maximum(tokens, 1)
+            spread = np.array([np.frombuffer(x, np.float32) for x in batch.column("spread").to_pylist()]).reshape(-1, STEPS)
+            total, bad = spread.sum(axis=1), spread[:, high + 1 :].sum(axis=1) + spread[:, :low].sum(axis=1)
             none = total == 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(total.astype(np.int32)), pa.array(bad / np.maximum(total, 1), mask=none), pa.array(mean, mask=none), pa.array(bad > FLAG_SHARE * total)], names=["doc", "n_words", "abnormal_share", "mean_cost", "spam"])
+            mean = np.asarray(batch.column("mean_cost"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n_words"), pa.array((bad / np.maximum(total, 1)).astype(np.float64), mask=none), pa.array(mean, mask=none), pa.array(bad > FLAG_SHARE * total)], names=["doc", "n_words", "abnormal_share", "mean_cost", "spam"])
 
-    return rows.mapInArrow(score, f"doc {kind}, n_words int, abnormal_share double, mean_cost double, spam boolean")
+    return spreads.drop("prose").mapInArrow(shares, f"doc {kind}, n_words int, abnormal_share double, mean_cost double, spam boolean")
