@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annales.llm.leakage import leaked_items
+from annales.llm.markup import clean_texts, marked_blocks
 from annales.llm.mixing import mix_report, mix_sources, source_sizes
 from annales.llm.names import name_links, same_names
 from annales.llm.neighbours import similar_vectors
@@ -16,7 +17,21 @@ from annales.llm.splitting import split_oversized
 from annales.llm.survivor import field_values, survivors
 from annales.llm.tokens import token_count
 from annales.llm.visual import canonical
-from annales.sources.tables import table
+from annales.sources.tables import latest, table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked_blocks(table(spark, sf_dir, "articles"), structure_only=True).select("revision_id", "kind", "body").distinct()
+
+
+def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = latest(table(spark, sf_dir, "articles").select("revision_id", "ingested_at", "wikitext"), "revision_id", "ingested_at")
+    return marked_blocks(once)
+
+
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = latest(table(spark, sf_dir, "articles").select("revision_id", "ingested_at", "wikitext"), "revision_id", "ingested_at")
+    return clean_texts(once)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +121,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_scores": p9_scores}
+    return {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_texts": p1_texts, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p6_forms": p6_forms, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_scores": p9_scores}
 
 
 P4_FOUND = "SELECT DISTINCT id FROM chunks WHERE length(text) > 2400"
