@@ -80,45 +80,52 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, degree: DataFrame | None
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
 
 
-def pagerank(seeds: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, checkpoint_every: int = 5) -> DataFrame:
+def pagerank(seeds: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, every: int = 10) -> DataFrame:
     """(query_id, node, score): personalised PageRank of each question over its own edges.
 
     seeds: query_id, id; edges: query_id, src, dst. Parallel edges count once,
-    loops as one neighbour. Restarts and the rank of nodes without edges are
-    spread evenly over the seeds that the edges touch; questions none of whose
-    seeds is touched have no rows. With a tolerance a batch ends when every
-    question's change is below nodes x tolerance; where that never happens all
-    nodes score 1. `tolerance=None` runs exactly `iterations` rounds.
+    loops as one neighbour. Restarts are spread evenly over the seeds that the
+    edges touch; questions none of whose seeds is touched have no rows. All
+    nodes have edges, so no rank is lost. With a tolerance the batch ends when
+    every question's last step changed less than nodes x tolerance, looked at
+    each `every` steps, where lineage is cut too; where that never happens all
+    nodes score 1. `tolerance=None` runs exactly `iterations` steps.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     pairs = edges.select("query_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     both = F.array_distinct(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to"))))
-    links = pairs.select("query_id", F.explode(both).alias("_l")).select("query_id", "_l.node", "_l.to")
+    links = pairs.select("query_id", F.explode(both).alias("_l")).select("query_id", "_l.node", "_l.to").checkpoint()
     out = links.groupBy("query_id", "node").agg(F.count(F.lit(1)).alias("deg"))
     start = seeds.select("query_id", F.col("id").alias("node")).distinct().join(out.select("query_id", "node"), ["query_id", "node"], "left_semi")
     each = start.groupBy("query_id").agg((1.0 / F.count(F.lit(1))).alias("jump"))
     start = start.join(each, "query_id")
-    nodes = out.join(each.select("query_id"), "query_id", "left_semi").join(start, ["query_id", "node"], "left").select("query_id", "node", "deg", F.coalesce("jump", F.lit(0.0)).alias("jump")).checkpoint()
+    count = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    nodes = out.join(each.select("query_id"), "query_id", "left_semi").join(start, ["query_id", "node"], "left").join(count, "query_id")
+    nodes = nodes.select("query_id", "node", "deg", F.coalesce("jump", F.lit(0.0)).alias("jump"), "n").checkpoint()
+    steps = links.join(nodes.select("query_id", "node", "deg"), ["query_id", "node"]).checkpoint()
+
+    def walk(rank: DataFrame) -> DataFrame:
+        # The former rank is read once a step, so plans grow by one step each, not twofold.
+        flow = rank.join(steps, ["query_id", "node"]).groupBy("query_id", F.col("to").alias("node")).agg(F.sum(F.col("score") / F.col("deg")).alias("_in"))
+        return nodes.join(flow, ["query_id", "node"], "left").select("query_id", "node", (alpha * F.coalesce("_in", F.lit(0.0)) + (1 - alpha) * F.col("jump")).alias("score"))
+
     # The walk starts evenly on all nodes, as the replaced engine's library does.
-    count = nodes.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    rank = nodes.join(count, "query_id").select("query_id", "node", "deg", "jump", (1.0 / F.col("n")).alias("score"))
-    links = links.join(each.select("query_id"), "query_id", "left_semi").checkpoint()
+    rank = nodes.select("query_id", "node", (1.0 / F.col("n")).alias("score"))
     for step in range(1, iterations + 1):
-        flow = rank.select("query_id", "node", (F.col("score") / F.col("deg")).alias("_s")).join(links, ["query_id", "node"]).groupBy("query_id", F.col("to").alias("node")).agg(F.sum("_s").alias("_in"))
-        new = rank.join(flow, ["query_id", "node"], "left").select("query_id", "node", "deg", "jump", (alpha * F.coalesce("_in", F.lit(0.0)) + (1 - alpha) * F.col("jump")).alias("score"), F.col("score").alias("_old"))
-        if step % checkpoint_every and step < iterations and tolerance is None:
-            rank = new.drop("_old")
+        looked = step % every == 0 or step == iterations
+        if looked and tolerance is not None:
+            rank = rank.checkpoint()
+        new = walk(rank)
+        if not looked:
+            rank = new
             continue
         new = new.checkpoint()
-        rank = new.drop("_old")
-        if tolerance is not None:
-            change = new.groupBy("query_id").agg(F.sum(F.abs(F.col("score") - F.col("_old"))).alias("d")).join(count, "query_id")
-            if not change.where(F.col("d") >= F.col("n") * tolerance).limit(1).count():
-                break
-    else:
         if tolerance is not None:
-            rank = rank.withColumn("score", F.lit(1.0))
-    return rank.select("query_id", "node", "score")
+            moved = new.join(rank.withColumnRenamed("score", "_old"), ["query_id", "node"]).groupBy("query_id").agg(F.sum(F.abs(F.col("score") - F.col("_old"))).alias("d"))
+            if not moved.join(nodes.select("query_id", "n").distinct(), "query_id").where(F.col("d") >= F.col("n") * tolerance).limit(1).count():
+                return new
+        rank = new
+    return rank if tolerance is None else rank.withColumn("score", F.lit(1.0))
 
 
 def trim(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
