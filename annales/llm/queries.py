@@ -14,7 +14,7 @@ from annales.llm.names import name_links, same_names
 from annales.llm.neighbours import similar_vectors
 from annales.llm.spam import spam_scores
 from annales.llm.splitting import split_oversized
-from annales.llm.survivor import field_values, survivors
+from annales.llm.survivor import FILLER_OPENINGS, FILLERS, field_values, survivors
 from annales.llm.tokens import token_count
 from annales.llm.visual import canonical
 from annales.sources.tables import latest, table
@@ -132,5 +132,22 @@ WHERE coalesce(s.n, 0) * m.max_repeats < m.target_share * (SELECT sum(n) FROM s)
 """
 
 
+def _fillers() -> str:
+    return ", ".join("'" + f.replace("'", "''") + "'" for f in FILLERS)
+
+
+P5_FOUND = f"""
+WITH once AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY ingested_at DESC) AS r FROM entities WHERE rec_id IS NOT NULL) WHERE r = 1 AND id IS NOT NULL),
+kept AS (SELECT o.*, coalesce(t.trust, -2147483648) AS trust, coalesce(start_year > end_year, false) AS swapped FROM once o LEFT JOIN entity_sources t USING (source) WHERE id IN (SELECT id FROM once GROUP BY id HAVING count(*) > 1)),
+bare AS (SELECT rec_id, trim(regexp_replace(trim(lower(regexp_replace(description, '[\\s\\x{{A0}}]+', ' ', 'g'))), '^[\\s\\[\\](){{}}<>*_"''“”.,:;…!?—–-]+|[\\s\\[\\](){{}}<>*_"''“”.,:;…!?—–-]+$', '', 'g')) AS b FROM kept WHERE description IS NOT NULL),
+said AS (SELECT rec_id FROM bare WHERE length(regexp_replace(b, '[^\\p{{L}}]', '', 'g')) >= 2 AND length(list_aggregate(list_distinct(string_split(regexp_replace(b, '[^\\p{{L}}]', '', 'g'), '')), 'string_agg', '')) > 1
+  AND b NOT IN ({_fillers()}) AND NOT regexp_matches(b, '{FILLER_OPENINGS}')),
+vals AS (SELECT id, 'description' AS field_name, rec_id, trust, updated_at FROM kept WHERE rec_id IN (SELECT rec_id FROM said)
+  UNION ALL SELECT id, 'start_year', rec_id, trust, updated_at FROM kept WHERE NOT swapped AND start_year <> 0 AND start_year BETWEEN -40000 AND 2100
+  UNION ALL SELECT id, 'end_year', rec_id, trust, updated_at FROM kept WHERE NOT swapped AND end_year <> 0 AND end_year BETWEEN -40000 AND 2100)
+SELECT id, field_name, rec_id FROM (SELECT *, row_number() OVER (PARTITION BY id, field_name ORDER BY trust DESC, updated_at DESC NULLS LAST, rec_id DESC) AS r FROM vals) WHERE r = 1
+""".replace("\\\\", "\\")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND, "p8_found": P8_FOUND}
+    return {"p4_found": P4_FOUND, "p5_found": P5_FOUND, "p8_found": P8_FOUND}
