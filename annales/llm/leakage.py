@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annales.llm.visual import LATIN_LOOKALIKES, LOOKALIKES
+from annales.llm.visual import LOOKALIKES
 
 #: Kept (1) and ignored (0) positions of each mask; every mask keeps eight words.
 MASKS = ("11111111", "1111011110", "111110111", "11011011011", "1101110111", "111011101100")
@@ -45,7 +45,7 @@ REACH = 48
 _TAGS = re.compile(r"<[^<>]{0,400}>|https?://\S+|&[a-z]{1,8};|&#x?[0-9a-f]{1,6};", re.IGNORECASE)
 _FOREIGN = re.compile("[Ͱ-ӿԀ-ԯ]")
 _WORD = re.compile("[a-z0-9]+")
-_ALIKE = str.maketrans({k: v.lower() for k, v in LOOKALIKES.items()} | {k.lower(): v.lower() for k, v in LOOKALIKES.items() if len(k.lower()) == 1})
+_ALIKE = str.maketrans(LOOKALIKES)
 #: Signs that separate words but vanish with what is not ASCII (fixed values).
 _SEPARATORS = "–—…“”‘’·•»«。，、  "
 
@@ -59,10 +59,11 @@ def words(text: str | None) -> list[str]:
         return []
     if "<" in text or "&" in text or "://" in text:
         text = _TAGS.sub(" ", text)
-    # Dotless capitals and d with stroke have no decomposition.
-    text = text.casefold().replace("đ", "d").replace("ð", "d").replace("ɖ", "d").replace("ı", "i")
+    # Look-alikes go by their case, so they are told before it is lost.
     if _FOREIGN.search(text):
         text = text.translate(_ALIKE)
+    # Dotless i and d with stroke have no decomposition.
+    text = text.casefold().replace("đ", "d").replace("ð", "d").replace("ɖ", "d").replace("ı", "i")
     for sign in _SEPARATORS:
         if sign in text:
             text = text.replace(sign, " ")
@@ -269,7 +270,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                 for body in batch.column("text").to_pylist():
                     edges.append(len(ids))
                     ids += [known(w, 0) for w in words(body)]
-                    ids.append(-1)
+                    # More breaks than words may differ in a row, so no stretch runs into the next document.
+                    ids += [-1] * (MOST_REPLACED + 1)
                 doc, item, span, equal = probe.leaks(np.array(ids, np.int64), np.array(edges, np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(doc)), pa.array(item), pa.array(span.astype(np.int32)), pa.array(equal.astype(np.int32))], names=["doc", "item", "n_words", "n_equal"])
 

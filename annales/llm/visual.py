@@ -97,25 +97,27 @@ def canonical(df: DataFrame, key: str, value: str) -> DataFrame:
     rows = df.select(F.col(key).alias("_key"), F.col(value).cast("string").alias("_value"))
     odd = F.col("_value").rlike(ODD)
     plain = rows.where(F.col("_value").isNull() | ~odd).distinct().select("_key", "_value", F.col("_value").alias("_canonical"))
-    # One row per odd value and word, then per code point.
-    strange = rows.where(odd).distinct()
-    words = strange.select("_key", "_value", F.posexplode(F.regexp_extract_all("_value", F.lit(_WORDS), F.lit(0))).alias("_w", "_word"))
+    # One row per odd value and word, then per code point. Two hashes stand for key and value on the way: a
+    # long text carried by each of its code points would be quadratic.
+    strange = rows.where(odd).distinct().withColumns({"_v1": F.xxhash64("_key", "_value"), "_v2": F.hash("_value", "_key")})
+    # What is asked of a whole value or word is asked before it is exploded, once.
+    words = strange.withColumn("_roman", F.col("_value").rlike(r"\p{IsLatin}")).select("_v1", "_v2", "_roman", F.posexplode(F.regexp_extract_all("_value", F.lit(_WORDS), F.lit(0))).alias("_w", "_word"))
     # A single letter is no word of another script where the rest of the value is Latin.
-    lone = F.col("_word").rlike(rf"^[\p{{M}}\p{{Cf}}]*{_LOOKALIKE_CLASS}[\p{{M}}\p{{Cf}}]*$") & F.col("_value").rlike(r"\p{IsLatin}")
+    lone = F.col("_word").rlike(rf"^[\p{{M}}\p{{Cf}}]*{_LOOKALIKE_CLASS}[\p{{M}}\p{{Cf}}]*$") & F.col("_roman")
     mixed = (F.col("_word").rlike(r"\p{IsLatin}") & F.col("_word").rlike(_LOOKALIKE_CLASS)) | lone
-    points = words.select("_key", "_value", "_w", mixed.alias("_mixed"), F.posexplode(F.regexp_extract_all("_word", F.lit("(?s)."), F.lit(0))).alias("_p", "_c"))
+    points = words.withColumn("_mixed", mixed).select("_v1", "_v2", "_w", "_mixed", F.posexplode(F.regexp_extract_all("_word", F.lit("(?s)."), F.lit(0))).alias("_p", "_c"))
     swap = _broadcast(spark, replace, "_c string, _to string")
     alike = _broadcast(spark, list(LOOKALIKES.items()), "_c string, _latin string")
     points = points.join(swap, "_c", "left").join(alike, "_c", "left")
     text = F.when(F.col("_mixed") & F.col("_latin").isNotNull(), F.col("_latin")).otherwise(F.coalesce("_to", "_c"))
     # Replacements may be several code points; each gets its own position.
-    points = points.select("_key", "_value", "_w", "_p", F.posexplode(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).alias("_q", "_c"))
+    points = points.select("_v1", "_v2", "_w", "_p", F.posexplode(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).alias("_q", "_c"))
     points = points.join(_broadcast(spark, classes, "_c string, _class int"), "_c", "left").withColumn("_class", F.coalesce("_class", F.lit(0)))
-    row = Window.partitionBy("_key", "_value").orderBy("_w", "_p", "_q")
+    row = Window.partitionBy("_v1", "_v2").orderBy("_w", "_p", "_q")
     runs = points.withColumn("_run", F.sum(F.when(F.col("_class") == 0, 1).otherwise(0)).over(row)).withColumn("_at", F.row_number().over(row))
-    ordered = runs.groupBy("_key", "_value", "_run").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_class", "_at", "_c"))), lambda x: x["_c"])).alias("_d"))
+    ordered = runs.groupBy("_v1", "_v2", "_run").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_class", "_at", "_c"))), lambda x: x["_c"])).alias("_d"))
     joined = ordered.join(_broadcast(spark, composed, "_d string, _to string"), "_d", "left").withColumn("_c", F.coalesce("_to", "_d"))
-    built = joined.groupBy("_key", "_value").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_run", "_c"))), lambda x: x["_c"])).alias("_built"))
+    built = joined.groupBy("_v1", "_v2").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_run", "_c"))), lambda x: x["_c"])).alias("_built"))
 
     @F.pandas_udf("string")
     def composed_form(texts: pd.Series) -> pd.Series:
@@ -123,7 +125,7 @@ def canonical(df: DataFrame, key: str, value: str) -> DataFrame:
         return texts.map(lambda t: unicodedata.normalize("NFC", t))
 
     # A value of which nothing is left has no code point to rebuild it from.
-    built = built.select("_key", "_value", composed_form("_built").alias("_canonical"))
+    built = built.select("_v1", "_v2", composed_form("_built").alias("_canonical")).join(strange, ["_v1", "_v2"]).select("_key", "_value", "_canonical")
     gone = strange.where(F.regexp_replace("_value", r"[\p{Cf}\p{Cc}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{34F}&&[^\n\t\r]]", "") == "").select("_key", "_value", F.lit("").alias("_canonical"))
     whole = plain.unionByName(built).unionByName(gone)
     return whole.select(F.col("_key").alias(key), F.col("_value").alias(value), F.col("_canonical").alias("canonical"), (~F.col("_value").eqNullSafe(F.col("_canonical"))).alias("changed"))
