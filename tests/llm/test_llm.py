@@ -124,6 +124,18 @@ def test_names(spark):
     assert name_links(_people(spark).limit(0)).count() == 0
 
 
+def test_crowded_names(spark):
+    # Sixty namesakes of one place lie between two records that tell the same deed, one of them without years.
+    deed = "Người Chình Xầm; võ tướng, từng đòi lại mấy chục mẫu dâu."
+    crowd = [(f"c{i:02}", "Thạch Tợi Báng", "Quê Chình Xầm.", 1000 + 10 * i) for i in range(60)] + [("u", "Thạch Tợi Báng", deed, None), ("v", "Thạch Tợi Báng", deed, 1900)]
+    filler = [(f"z{i:03}", f"Khương {chr(97 + i % 26)}{chr(97 + i // 26)}a Moi Lan", "Quê Vùng Xa.", 100 + i) for i in range(600)]
+    df = spark.createDataFrame([(i, n, [], "Person", d, y, None) for i, n, d, y in crowd + filler], "id string, name string, aliases array<string>, type string, description string, start_year int, end_year int")
+    assert [(r["a"], r["b"]) for r in name_links(df).collect() if not r["a"].startswith("z")] == [("u", "v")]
+    rows = [(k, f"{i:02}", float(k), n) for k, n in ((1, 17), (2, 2), (3, 1), (4, 3)) for i in range(n)]
+    got = names._met(spark.createDataFrame(rows, "key long, id string, rare double, n long"), 3).collect()
+    assert {(r["a"], r["b"]): r["rare"] for r in got} == {(f"{i:02}", f"{j:02}"): 4.0 if j < 3 else 1.0 for i in range(17) for j in range(i + 1, 17)} and len(got) == 136
+
+
 # 4 splitting
 
 
