@@ -4,7 +4,7 @@ Method: cross-polytope hashing. Pseudo-rotations, each three rounds of random
 signs and a Hadamard transform, send unit vectors to their nearest signed axis;
 a second digit over the first few axes of another rotation keeps buckets small
 as the collection grows. Several tables are probed at the own bucket and the
-next-best ones, candidates of a bucket are screened with 8-bit vectors, and what
+next-best ones, the more the finer buckets are where far neighbours count, candidates of a bucket are screened with 8-bit vectors, and what
 is left is ranked by exact cosine.
 
 Directions that agree to four decimals are one vector with several ids; groups
@@ -27,6 +27,12 @@ from annales.session import ensure_checkpoint_dir
 
 TABLES = 6
 PROBES = 1
+#: Probes where no cosine of MEASURED or more is asked for, by the range of the second digit: neighbours are far there,
+#: and finer buckets part them (brute-force recall of the five nearest is 0.9 or more at each, see the tests).
+MEASURED = 0.85
+FAR_PROBES = {0: 15, 1: 19, 2: 23, 4: 39, 8: 63, 16: 103, 32: 159, 64: 255}
+#: Times BUCKET that an average bucket may hold where few vectors search.
+MOST_BUCKETS = 20
 #: Members of an average bucket; sets the range of the second digit.
 BUCKET = 256
 #: Rows of a bucket that one task compares at once.
@@ -74,12 +80,16 @@ def second_axes(count: int, dims: int, bucket: int = BUCKET) -> int:
     return 0 if wanted < 2 else min(dims, 1 << int(np.log2(wanted / 2)))
 
 
-def _axis(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the nearest and next signed axes, and their lengths, of each row."""
-    size = np.abs(y)
-    best = np.argsort(-size, axis=1, kind="stable")[:, : min(1 + PROBES, y.shape[1])]
-    at = np.arange(len(y))[:, None]
-    return best * 2 + (y[at, best] < 0), size[at, best]
+def probes_for(second: int, least: float) -> int:
+    """Extra buckets a table in which a vector searches."""
+    return PROBES if least >= MEASURED else FAR_PROBES.get(second, max(FAR_PROBES.values()) * max(1, second // 64))
+
+
+def _axis(y: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the `count` nearest signed axes, and their lengths, of each row."""
+    both = np.stack([y, -y], axis=2).reshape(len(y), -1)
+    best = np.argsort(-both, axis=1, kind="stable")[:, :count]
+    return best, np.take_along_axis(both, best, axis=1)
 
 
 def codes(unit: np.ndarray, second: int, tables: int = TABLES, probes: int = PROBES, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +100,16 @@ def codes(unit: np.ndarray, second: int, tables: int = TABLES, probes: int = PRO
     own = np.empty((len(unit), tables), np.int32)
     other = np.full((len(unit), tables, probes), -1, np.int32)
     for t in range(tables):
-        a, la = _axis(padded @ turns[2 * t])
+        a, la = _axis(padded @ turns[2 * t], 1 + probes)
         if second:
-            b, lb = _axis(padded @ turns[2 * t + 1][:, :second])
+            b, lb = _axis(padded @ turns[2 * t + 1][:, :second], 1 + probes)
             n = 2 * second
             own[:, t] = a[:, 0] * n + b[:, 0]
-            options = np.concatenate([a[:, 1:] * n + b[:, :1], a[:, :1] * n + b[:, 1:]], axis=1)
-            costs = np.concatenate([la[:, :1] - la[:, 1:], lb[:, :1] - lb[:, 1:]], axis=1)
+            # A pair of ranks comes after all pairs of smaller ones.
+            ranks = [(i, j) for i in range(a.shape[1]) for j in range(b.shape[1]) if 1 < (i + 1) * (j + 1) <= 1 + probes]
+            i, j = (np.array(x, np.int64) for x in zip(*ranks)) if ranks else (np.empty(0, np.int64),) * 2
+            options = a[:, i] * n + b[:, j]
+            costs = la[:, :1] - la[:, i] + lb[:, :1] - lb[:, j]
         else:
             own[:, t], options, costs = a[:, 0], a[:, 1:], la[:, :1] - la[:, 1:]
         order = np.argsort(costs, axis=1, kind="stable")[:, :probes]
@@ -161,33 +174,38 @@ def _matrix(column: pa.Array, dtype: type) -> np.ndarray:
     return data.view(dtype).reshape(len(column), -1)
 
 
-def _hashed(vectors: DataFrame, dims: int, second: int, payload: bool) -> DataFrame:
-    """Rows (table, bucket, searcher only[, vid, vector, scale, own buckets]) of every vector."""
+def _hashed(vectors: DataFrame, second: int, probes: int, payload: bool) -> DataFrame:
+    """Rows (table, bucket, part[, vid, vector, scale, own buckets]) of every vector; part: 1 member, 2 searcher, 3 both."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit = _matrix(batch.column("unit"), np.float32)
-            n = len(unit)
-            own, other = codes(unit, second)
-            spots = [(t, own[:, t], False) for t in range(TABLES)] + [(t, other[:, t, p], True) for t in range(TABLES) for p in range(PROBES)]
+            if not len(unit):
+                continue
+            seeks = np.flatnonzero(batch.column("seeks").to_numpy(zero_copy_only=False))
+            own = codes(unit, second, probes=0)[0]
+            other = codes(unit[seeks], second, probes=probes)[1]
+            part = np.ones(len(unit), np.int32)
+            part[seeks] = 3
+            everyone = np.arange(len(unit))
+            spots = [(t, everyone, own[:, t], part) for t in range(TABLES)] + [(t, seeks, other[:, t, p], np.full(len(seeks), 2, np.int32)) for t in range(TABLES) for p in range(probes)]
             if payload:
                 scale = np.abs(unit).max(axis=1) / 127
                 small = _binary(np.rint(unit / scale[:, None]).astype(np.int8))
                 at = _binary(own)
                 vid, scale = batch.column("vid"), pa.array(scale.astype(np.float32))
-            for t, bucket, probe in spots:
+            for t, rows, bucket, kind in spots:
                 there = np.flatnonzero(bucket >= 0)
-                keep = pa.array(there)
-                arrays = [pa.array(np.full(len(there), t, np.int32)), pa.array(bucket[there]), pa.array(np.full(len(there), probe))]
-                names = ["tbl", "bucket", "probe"]
+                arrays = [pa.array(np.full(len(there), t, np.int32)), pa.array(bucket[there]), pa.array(kind[there])]
+                names = ["tbl", "bucket", "kind"]
                 if payload:
-                    whole = len(there) == n
-                    arrays += [x if whole else x.take(keep) for x in (vid, small, scale, at)]
+                    keep = pa.array(rows[there])
+                    arrays += [x.take(keep) for x in (vid, small, scale, at)]
                     names += ["vid", "small", "scale", "own"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     more = ", vid long, small binary, scale float, own binary" if payload else ""
-    return vectors.select("vid", "unit").mapInArrow(emit, f"tbl int, bucket int, probe boolean{more}")
+    return vectors.select("vid", "unit", "seeks").mapInArrow(emit, f"tbl int, bucket int, kind int{more}")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -255,17 +273,16 @@ def _screen(kept: int, least: float):
 
 
 def _gridded(rows: DataFrame, crowded: DataFrame | None) -> DataFrame:
-    """Rows with the group `g` they are compared in and their part: 1 member, 2 searcher, 3 both."""
-    both = F.when(F.col("probe"), 2).otherwise(3).cast("int")
+    """Rows with the group `g` they are compared in and their part there."""
     if crowded is None:
-        return rows.withColumn("kind", both).withColumn("g", F.xxhash64("tbl", "bucket"))
+        return rows.withColumn("g", F.xxhash64("tbl", "bucket"))
     rows = rows.join(crowded, ["tbl", "bucket"], "left")
-    calm = rows.where("blocks IS NULL").drop("blocks").withColumn("kind", both).withColumn("g", F.xxhash64("tbl", "bucket"))
+    calm = rows.where("blocks IS NULL").drop("blocks").withColumn("g", F.xxhash64("tbl", "bucket"))
     packed = rows.where("blocks IS NOT NULL")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     mine = F.pmod(F.xxhash64("vid", "tbl"), F.col("blocks").cast("long")).cast("int")
-    member = packed.where("NOT probe").withColumn("_i", mine).withColumn("_j", others).withColumn("kind", F.lit(1))
-    seeker = packed.withColumn("_j", mine).withColumn("_i", others).withColumn("kind", F.lit(2))
+    member = packed.where("kind <> 2").withColumn("_i", mine).withColumn("_j", others).withColumn("kind", F.lit(1))
+    seeker = packed.where("kind <> 1").withColumn("_j", mine).withColumn("_i", others).withColumn("kind", F.lit(2))
     split = member.unionByName(seeker).withColumn("g", F.xxhash64("tbl", "bucket", "_i", "_j")).drop("blocks", "_i", "_j")
     return calm.unionByName(split)
 
@@ -303,18 +320,28 @@ def similar_vectors(
     order = tuple(c for c in order if c in df.columns)
     units = unit_vectors(df, key, vector, dims, order)
     newest = units.groupBy("id").agg(F.max_by("vid", F.struct(*[F.col(f"_o{i}") for i in range(len(order))], F.col("vid"))).alias("vid"))
-    vectors = units.select("vid", "unit").dropDuplicates(["vid"]).checkpoint()
-    count = vectors.count()
-    second = second_axes(count, width(dims))
-    sizes = _hashed(vectors, dims, second, payload=False).groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    vectors = units.select("vid", "unit").dropDuplicates(["vid"])
+    if queries is None:
+        vectors = vectors.withColumn("seeks", F.lit(True)).checkpoint()
+    else:
+        wanted = newest.join(queries.select("id"), "id", "left_semi").select("vid", F.lit(True).alias("seeks")).distinct()
+        vectors = vectors.join(wanted, "vid", "left").withColumn("seeks", F.coalesce("seeks", F.lit(False))).checkpoint()
+    count, searching = vectors.agg(F.count(F.lit(1)), F.count_if("seeks")).first()
+    # Where few search, larger buckets cost no more comparisons and part fewer neighbours.
+    second = second_axes(count, width(dims), BUCKET * min(MOST_BUCKETS, max(1, count // max(1, searching))))
+    probes = probes_for(second, least)
+    sizes = _hashed(vectors, second, probes, payload=False).groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("n"))
     crowded = sizes.where(F.col("n") > crowded_at).select("tbl", "bucket", F.ceil(F.col("n") / crowded_at).cast("int").alias("blocks"))
     crowded = crowded.checkpoint()
     packed = crowded.count()
     table = None if not packed else F.broadcast(crowded) if packed <= MOST_CROWDED else crowded
-    rows = _gridded(_hashed(vectors, dims, second, payload=True), table)
+    rows = _gridded(_hashed(vectors, second, probes, payload=True), table)
     rows = rows.select("g", "vid", "kind", "tbl", "small", "scale", "own").repartition("g").sortWithinPartitions("g")
     near = rows.mapInArrow(_screen(k + SPARE, least - SLACK), "a long, b long, near float").groupBy("a", "b").agg(F.max("near").alias("near"))
-    kept = _best(_both_ways(near, "near"), "near", k + SPARE)
+    near = _both_ways(near, "near")
+    if queries is not None:
+        near = near.join(vectors.where("seeks").select("vid"), "vid", "left_semi")
+    kept = _best(near, "near", k + SPARE)
     pairs = kept.select(F.least("vid", "other").alias("a"), F.greatest("vid", "other").alias("b")).distinct()
     left, right = vectors.select(F.col("vid").alias("a"), F.col("unit").alias("unit_a")), vectors.select(F.col("vid").alias("b"), F.col("unit").alias("unit_b"))
     exact = pairs.join(left, "a").join(right, "b").select("a", "b", "unit_a", "unit_b").mapInArrow(_exact, "a long, b long, cosine double").where(F.col("cosine") >= least)

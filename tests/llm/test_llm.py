@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from annales.llm import leakage, markup, mixing, names, spam, survivor
+from annales.llm import leakage, markup, mixing, names, neighbours, spam, survivor
 from annales.llm.leakage import leaked_items
 from annales.llm.markup import blocks, clean, marked_blocks
 from annales.llm.mixing import mix_report, mix_sources, pfair_pattern, quantise, source_sizes
@@ -96,6 +96,33 @@ def test_neighbours_empty(spark):
     assert np.allclose(h @ h.T, np.eye(8))
 
 
+@pytest.mark.parametrize("second", [0, 1, 2, 4, 8, 16, 32, 64])
+def test_far_neighbours_meet(second):
+    # Directions in loose families: the five nearest are far from 0.85 and must share a bucket with the searcher in 9 of 10 cases.
+    rng = np.random.default_rng(3)
+    unit = np.repeat(rng.normal(size=(2500, 64)), 8, axis=0) + rng.normal(size=(20000, 64)) * 1.0
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    close = unit[::200] @ unit.T
+    close[np.arange(100), np.arange(0, 20000, 200)] = -2
+    nearest = np.argsort(-close, axis=1)[:, :5]
+    own = neighbours.codes(unit, second, probes=0)[0]
+    tried = np.concatenate([own[::200][:, :, None], neighbours.codes(unit[::200], second, probes=neighbours.probes_for(second, -1.0))[1]], axis=2)
+    met = (own[nearest][:, :, :, None] == tried[:, None]).any(axis=(2, 3))
+    assert met.mean() >= 0.9
+
+
+def test_few_search(spark):
+    rng = np.random.default_rng(4)
+    unit = np.repeat(rng.normal(size=(50, 64)), 8, axis=0) + rng.normal(size=(400, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"{i:03}", u.tolist()) for i, u in enumerate(unit)], "id string, embedding array<double>")
+    got = similar_vectors(df, queries=df.where("id < '040'").select("id")).collect()
+    close = unit @ unit.T - 3 * np.eye(400)
+    true = {(i, j) for i in range(40) for j in np.argsort(-close[i])[:5]}
+    assert {r["id"] for r in got} == {f"{i:03}" for i in range(40)} and len(got) == 200
+    assert len(true & {(int(r["id"]), int(r["other"])) for r in got}) >= 0.9 * len(true)
+
+
 # 3 names
 
 
