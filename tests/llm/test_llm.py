@@ -163,6 +163,13 @@ def test_crowded_names(spark):
     assert {(r["a"], r["b"]): r["rare"] for r in got} == {(f"{i:02}", f"{j:02}"): 4.0 if j < 3 else 1.0 for i in range(17) for j in range(i + 1, 17)} and len(got) == 136
 
 
+def test_names_without_common_fact(spark):
+    # p tells no place and year, q and r have facts of different kinds; their calling and deed are the same, s's are not.
+    rows = [("p", "võ tướng, từng đòi lại mấy chục mẫu dâu.", None), ("q", "võ tướng, từng đòi lại mấy chục mẫu dâu.", 1430), ("r", "võ tướng, từng đòi lại mấy chục mẫu dâu.", None), ("s", "thợ rèn, từng dựng đình.", 1430)]
+    df = spark.createDataFrame([(i, n, [], "Person", f"Người {'Chình Xầm' if i == 'r' else 'làng'}; {d}", y, None) for (i, d, y), n in zip(rows, ["Thạch Tợi Báng Đấm"] * 4)], "id string, name string, aliases array<string>, type string, description string, start_year int, end_year int")
+    assert {(r["a"], r["b"]) for r in name_links(df).where("a <> 's' AND b <> 's'").collect()} == {("p", "q"), ("p", "r"), ("q", "r")}
+
+
 # 4 splitting
 
 
