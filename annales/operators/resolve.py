@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from annales.config import DEFAULT, Config
 from annales.functions.fuzzy import mean_ratio, mean_similarity
-from annales.functions.text import normalize_key, slug, strip_accents
+from annales.functions.text import normalize_key, slug
+from annales.session import ensure_checkpoint_dir
 
 
 def alias_registry(aliases: DataFrame, typed: bool = False) -> DataFrame:
@@ -127,14 +128,85 @@ class Resolver:
         return entity
 
 
+def _parts(key: str, least: float) -> list[str]:
+    """Marks of which two different keys have one in common if the ratio of their sorted words is `least` or more.
+
+    Of the D letters that may be put in or left out, none touches one of the
+    D + 1 parts of the shorter key; the longer one has it at most D places off.
+    """
+    s, rate = " ".join(sorted(key.split())), 1 - least / 100
+    out = set()
+    for n in range(int(len(s) * (1 - rate) / (1 + rate)), int(len(s) * (1 + rate) / (1 - rate)) + 2):
+        most = int(rate * (n + len(s)) + 1e-9)
+        short = min(n, len(s))
+        edges = [short * k // (most + 1) for k in range(most + 2)] if most else []
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            for shift in (range(-most, most + 1) if n <= len(s) else ()):
+                if a + shift >= 0 and b + shift <= len(s):
+                    out.add(f"{short} {most} {k} {s[a + shift : b + shift]}")
+            if n >= len(s):
+                out.add(f"{short} {most} {k} {s[a:b]}")
+    return list(out)
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, label): each node of edges (u, v) with the least node it can reach; labels are checkpointed each round."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+    labels = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).withColumnRenamed("u", "node").checkpoint()
+    while True:
+        told = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("_t"))
+        moved = labels.join(told, "node").select("node", F.least("label", "_t").alias("label"), (F.col("_t") < F.col("label")).alias("_m"))
+        # The label of one's label is nearer the least one.
+        jumped = moved.join(moved.select(F.col("node").alias("label"), F.col("label").alias("_j")), "label", "left").select("node", F.least("label", "_j").alias("label"), "_m").checkpoint()
+        labels = jumped.select("node", "label")
+        if not jumped.where("_m").limit(1).count():
+            return labels
+
+
+def _grouped(mentions: DataFrame, config: Config) -> DataFrame:
+    """Mentions (with new_id) and the group `_g` outside which none can change another's outcome.
+
+    Two mentions can do so if they share a name, an alias or an id that one may
+    be given, or if a name of one is near a name or alias of the other; groups
+    are the connected components.
+    """
+    ensure_checkpoint_dir(mentions.sparkSession)
+
+    @F.pandas_udf("array<string>")
+    def keys(name: pd.Series, aliases: pd.Series) -> pd.Series:
+        return pd.Series([list(dict.fromkeys(filter(None, (Resolver.key(x or "") for x in (n, *(a if a is not None else ())))))) for n, a in zip(name, aliases)])
+
+    @F.pandas_udf("array<string>")
+    def parts(key: pd.Series) -> pd.Series:
+        return pd.Series([_parts(k, config.fuzzy_threshold) for k in key])
+
+    own = F.concat(F.lit("n:"), "new_id")
+    rows = mentions.select("new_id", "type", keys("name", "aliases").alias("keys"), keys("name", F.array().cast("array<string>")).alias("names")).checkpoint()
+    exact = rows.select(own.alias("u"), F.explode(F.concat(F.transform("keys", lambda k: F.concat(F.lit("k:"), k)), F.array_compact(F.array(F.concat(own, F.lit("-"), F.lower("type")))))).alias("v"))
+    typed = rows.where("type <> ''").select("type", F.explode("keys").alias("key"), "names").groupBy("type", "key").agg(F.max(F.array_contains("names", F.col("key"))).alias("named"))
+    # Years don't matter here: a group may hold more than it needs.
+    words = fuzzy_pairs(typed.select(F.col("key").alias("id"), "type", F.lit(0).alias("start_year"), F.col("key").alias("name")), config).select("id_a", "id_b")
+    marked = typed.select("type", "key", F.explode(parts("key")).alias("_p"))
+    # Near names without a common word.
+    apart = marked.join(marked.select("type", F.col("key").alias("id_b"), "_p"), ["type", "_p"]).where(F.col("key") < F.col("id_b")).select(F.col("key").alias("id_a"), "id_b").distinct()
+    apart = apart.where(~F.arrays_overlap(F.split("id_a", " "), F.split("id_b", " "))).where(mean_similarity("id_a", "id_b") >= config.fuzzy_threshold)
+    named = typed.where("named").select(F.col("key").alias("id")).distinct()
+    near = words.unionByName(apart).distinct()
+    near = near.join(named.withColumnRenamed("id", "id_a"), "id_a", "left_semi").unionByName(near.join(named.withColumnRenamed("id", "id_b"), "id_b", "left_semi"))
+    edges = exact.unionByName(near.select(F.concat(F.lit("k:"), "id_a").alias("u"), F.concat(F.lit("k:"), "id_b").alias("v")))
+    labels = _components(edges)
+    return mentions.withColumn("_n", own).join(labels.select(F.col("node").alias("_n"), F.col("label").alias("_l")), "_n", "left").withColumn("_g", F.coalesce("_l", "_n")).drop("_n", "_l")
+
+
 def resolve_mentions(mentions: DataFrame, group: str | None = None, config: Config = DEFAULT) -> DataFrame:
     """(seq, entity_id) of mentions (seq, name, type, start_year, qid, aliases), resolved in order of seq.
 
-    The outcome depends on the order, so a group is one task; without a group
-    column names are grouped by the first letter of their folded form, within
-    which near names fall, and groups run in parallel.
+    The outcome depends on the order, so a group is one task. Without a group
+    column the result is that of one pass over all mentions: groups are then
+    those that cannot touch each other (see _grouped), and run in parallel.
     """
-    keyed = new_ids(mentions).withColumn("_g", F.col(group).cast("string") if group else F.substring(strip_accents(F.lower("name")), 1, 1))
+    numbered = new_ids(mentions)
+    keyed = numbered.withColumn("_g", F.col(group).cast("string")) if group else _grouped(numbered, config)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         resolver = Resolver(config)

@@ -133,6 +133,14 @@ def test_resolution(spark):
     assert [(r["id_a"], r["id_b"]) for r in resolve.fuzzy_pairs(names).collect()] == [("1", "2")]
 
 
+def test_resolution_across_letters(spark):
+    # Aliases and near names under another first letter, and near names without a common word; as one pass over all.
+    rows = [(1, "Đề Thỏng", "Person", None, None, ["Lữ Lụng Thảo Thỏng"]), (2, "Lữ Lụng Thảo Thỏng", "Person", None, None, []), (3, "Thăngxlongkinhthành", "Place", None, None, []), (4, "Zthăngxlongkinhthành", "Place", None, None, []), (5, "Ông lý thường kiệt công", "Person", None, None, []), (6, "lý thường kiệt công ông", "Person", None, None, []), (7, "Hoa Lư", "Place", None, None, None), (8, "", None, None, None, [])]
+    df = spark.createDataFrame(rows, "seq long, name string, type string, start_year int, qid string, aliases array<string>").withColumn("g", F.lit("all"))
+    got, one = ({r["seq"]: r["entity_id"] for r in resolve.resolve_mentions(df, g).collect()} for g in (None, "g"))
+    assert got == one and got[1] == got[2] and got[3] == got[4] and got[5] == got[6] and len(set(got.values())) == 5
+
+
 def test_selection(spark):
     kind, chosen = collect.profile("era:e1", [{"id": "p", "era_id": "e1"}, {"id": "q", "era_id": "e2"}])
     assert kind == "era" and [p["id"] for p in chosen] == ["p"] and collect.profile("mini", [])[0] == "mini"
