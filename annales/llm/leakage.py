@@ -149,27 +149,31 @@ class Probe:
         first = np.r_[True, (d[1:] != d[:-1]) | (p[1:] - p[:-1] > 8)]
         return p[first], q[first]
 
-    def stretches(self, padded: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end on the item's side, equal words and equal own words of the stretch through each meeting."""
-        offsets = np.arange(-REACH, REACH)
-        mine, theirs = padded[p[:, None] + REACH + offsets], self.padded[q[:, None] + REACH + offsets]
-        same = (mine == theirs) & (mine > 0)
-        n, mid = len(p), REACH
-        ends = []
-        for part in (same[:, mid:], same[:, :mid][:, ::-1]):
-            # The last equal word before more than MOST_REPLACED differing ones in a row.
-            steps = np.arange(part.shape[1])
-            last = np.maximum.accumulate(np.where(part, steps, -1), axis=1)
-            broken = steps - last > MOST_REPLACED
-            stop = np.where(broken.any(axis=1), broken.argmax(axis=1), part.shape[1]) - 1
-            ends.append(np.where(stop >= 0, last[np.arange(n), np.maximum(stop, 0)], -1))
-        high, low = mid + ends[0] + 1, mid - ends[1] - 1
-        at = np.arange(n)
-        counts = []
-        for part in (same, same & self.own[q[:, None] + REACH + offsets]):
-            total = np.concatenate([np.zeros((n, 1), np.int16), np.cumsum(part, axis=1, dtype=np.int16)], axis=1)
-            counts.append(total[at, high].astype(np.int64) - total[at, low])
-        return q + low - mid, q + high - mid, *counts
+    def _side(self, padded: np.ndarray, p: np.ndarray, q: np.ndarray, sign: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words up to the last equal one before more than MOST_REPLACED differing in a row, equal and equal own words, from p and q on (1) or before them (-1); not whole: within REACH."""
+        last, equal, own = np.full(len(p), -1), np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        live, base = np.arange(len(p)), 0
+        while len(live):
+            steps = base + np.arange(REACH)
+            offsets = steps if sign > 0 else -1 - steps
+            a, b = p[live, None] + REACH + offsets, q[live, None] + REACH + offsets
+            within = (a >= 0) & (a < len(padded)) & (b >= 0) & (b < len(self.padded))
+            a, b = np.clip(a, 0, len(padded) - 1), np.clip(b, 0, len(self.padded) - 1)
+            same = (padded[a] == self.padded[b]) & (padded[a] > 0) & within
+            latest = np.maximum(np.maximum.accumulate(np.where(same, steps, -1), axis=1), last[live, None])
+            broken = steps - latest > MOST_REPLACED
+            stop = np.where(broken.any(axis=1), broken.argmax(axis=1), REACH)
+            hits = same & (np.arange(REACH) < stop[:, None])
+            equal[live] += hits.sum(axis=1)
+            own[live] += (hits & self.own[b]).sum(axis=1)
+            last[live] = np.where(stop > 0, latest[np.arange(len(live)), np.maximum(stop - 1, 0)], last[live])
+            live, base = live[stop == REACH] if whole else live[:0], base + REACH
+        return last + 1, equal, own
+
+    def stretches(self, padded: np.ndarray, p: np.ndarray, q: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end on the item's side, equal words and equal own words of the stretch through each meeting, read in windows of REACH to its real ends."""
+        after, before = self._side(padded, p, q, 1, whole), self._side(padded, p, q, -1, whole)
+        return q - before[0], q + after[0], after[1] + before[1], after[2] + before[2]
 
     def leaks(self, seq: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document number, item, words of the stretch, equal words), the longest stretch of each pair.
@@ -180,8 +184,10 @@ class Probe:
         if not len(p):
             return (np.empty(0, np.int64),) * 4
         padded = np.concatenate([np.full(REACH, -2), seq, np.full(REACH, -2)]).astype(np.int32)
-        parts = [self.stretches(padded, p[a : a + 50_000], q[a : a + 50_000]) for a in range(0, len(p), 50_000)]
+        # A long stretch may thin out at its ends, so its near part is judged as well.
+        parts = [self.stretches(padded, p[a : a + 50_000], q[a : a + 50_000], whole) for whole in (True, False) for a in range(0, len(p), 50_000)]
         low, high, equal, own = (np.concatenate(x) for x in zip(*parts))
+        p, q = np.tile(p, 2), np.tile(q, 2)
         doc = np.searchsorted(edges, p, side="right") - 1
         text = np.searchsorted(self.starts, q, side="right") - 1
         # Parts of one stretch on neighbouring diagonals are joined where words were put between or left out.

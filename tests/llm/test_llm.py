@@ -273,6 +273,17 @@ def test_leaks(spark):
     assert leaked_items(docs, items.limit(0)).count() == 0 and leaked_items(docs.limit(0), items).count() == 0
 
 
+def test_long_leaks():
+    # A copied passage of 150 words is one stretch; own words after 60 that three items share count.
+    text = [f"w{i}" for i in range(150)]
+    stock = [f"s{i}" for i in range(60)]
+    probe = leakage.Probe([(1, text)] + [(k, stock + [f"o{k}x{i}" for i in range(30)]) for k in (2, 3, 4)])
+    code = lambda body: [probe.vocabulary.get(w, 0) for w in body] + [-1] * 3
+    one, two = code(["a", *text, "b"]), code(stock + [f"o2x{i}" for i in range(30)])
+    got = probe.leaks(np.array(one + two), np.array([0, len(one)]))
+    assert [tuple(int(x) for x in r) for r in zip(*got)] == [(0, 1, 150, 150), (1, 2, 90, 90)]
+
+
 def test_leak_words():
     assert leakage.words("Đường&nbsp;ĐÊ\u0301 <b>x</b>y [12] 1010 Ｎａ Νa") == ["duong", "de", "x", "y", "1010", "na", "na"]
     assert leakage.words(None) == [] and leakage.words("") == []
