@@ -3,9 +3,12 @@
 Method: pages are read as sequences of function words and word classes and
 scored under a trigram model trained on prose. The corpus trains the model
 itself: pages that are built of sentences and don't repeat themselves count as
-prose, all of them, not a sample. Costs are averaged over a sliding window; a
-word belongs to abnormal text where that average lies outside what prose shows,
-and a page is flagged when more than half of its words do.
+prose, all of them, not a sample. Such pages may still be shuffled words, so a
+trigram is part of the model only where pages that aren't copies of each other
+agree on it, which a page of shuffled words can't bring about. Costs are
+averaged over a sliding window; a word belongs to abnormal text where that
+average lies far outside the middle of prose, and a page is flagged when more
+than half of its words do.
 """
 
 from __future__ import annotations
@@ -24,8 +27,6 @@ from annales.session import ensure_checkpoint_dir
 
 #: Share of prose pages in which a word must occur to stand for itself; rarer ones are classes.
 FUNCTION_SHARE = 0.004
-#: Most words that stand for themselves: bounds the model, which is broadcast (a share of 0.004 in pages of a language allows a few thousand).
-MOST_FUNCTION = 6_000
 #: Words of the sliding window.
 WINDOW = 20
 #: Prose pages: share of words in sentences of five words or more; most four-word runs that may repeat.
@@ -33,11 +34,16 @@ PROSE_SENTENCES = 0.9
 PROSE_REPEATS = 0.5
 #: Share of a page's words that must lie in abnormal text.
 FLAG_SHARE = 0.5
-#: Costs of windows are told in this many steps of so many nats.
+#: A trigram is known when this many pages that aren't copies of each other have it, and when it is this share of all.
+#: The second bounds the model, which is broadcast, by 1/LEAST_PART trigrams of 16 bytes at any size of the corpus.
+LEAST_PAGES = 3
+LEAST_PART = 2e-7
+#: Costs of windows are told in this many steps of so many nats, those of all prose in finer ones.
 STEPS, STEP = 128, 0.08
-#: A window is abnormal where its cost exceeds this share of the windows of prose, or falls below LOW times the
-#: cost that all but one in a thousand of them exceed.
-HIGH, LOW = 0.996, 0.5
+FINE, FINE_STEP = 1024, 0.01
+#: A window is abnormal where its cost exceeds the median of prose by HIGH times the way from there to the upper tenth,
+#: or falls below LOW times the lowest hundredth. Both hold though a tenth of what counts as prose were something else.
+HIGH, LOW = 7.0, 0.5
 
 #: Prose pages: most words that may be neither function words nor names.
 PROSE_RARE = 0.1
@@ -52,6 +58,8 @@ PAGE, NAME, WORD, NUMBER, ADDRESS, TAG, LINK, SIGN, STOP, COMMA = range(len(CLAS
 _TOKEN = re.compile(r"(?m)https?://\S+|www\.\S+|[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,]\d+)*|#\w+|^[^\w\n]{0,4}\[\[|^[ \t]*[-*+•»–—]+[ \t]|[.!?…]+|[,;:/|–—·•]|[^\w\s.,;:()\"“”‘’'\[\]<>=_#]+")
 _LINE_LINK = re.compile(r"(?m)^[^\w\n<]{0,4}<[aA]\b[^<>]{0,400}>")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+# Marks of footnotes and citations stand between words of prose and are none.
+_FOOTNOTE = re.compile(r"\[\d{1,4}\]")
 _INVISIBLE = re.compile("[­͏​-‏⁠﻿︀-️]")
 #: Raw codes: classes stay below WORDS; words are WORDS + 4 * hash + 2 * all capitals + capital.
 WORDS = 16
@@ -66,6 +74,8 @@ def fold(word: str) -> str:
 def tokens(text: str) -> list[str]:
     if "<" in text:
         text = _MARKUP.sub("", _LINE_LINK.sub("[[", text))
+    if "[" in text:
+        text = _FOOTNOTE.sub("", text)
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
         if not unicodedata.is_normalized("NFKC", text):
@@ -143,38 +153,41 @@ def _page_of(starts: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(page)
 
 
-def prose_pages(codes: np.ndarray, weights: np.ndarray, starts: np.ndarray, known: bool = True) -> np.ndarray:
-    """Which pages are prose by their build alone: sentences that neither repeat four-token runs nor, with
-    function words `known`, are made of rare words."""
-    n, pages = len(codes), len(starts)
+def prose_pages(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which pages are prose by their build alone: sentences that don't repeat four-token runs."""
+    n, pages = len(raw), len(starts)
     page = _page_of(starts, n)
+    word = raw >= WORDS
+    capital = word & ((raw - WORDS) & 1 > 0)
+    mark = np.where(word, WORD, raw)
+    weights = (word | np.isin(mark, (NUMBER, TAG, ADDRESS))).astype(float)
     # A sentence has five words, six for each comma, a stop and no tag, address or link.
-    ends = (codes == PAGE) | (codes == STOP)
+    ends = (mark == PAGE) | (mark == STOP)
     segment = np.r_[0, np.cumsum(ends)[:-1]]
     size = np.bincount(segment, weights)
-    spoilt = np.bincount(segment, np.isin(codes, (TAG, ADDRESS, LINK))) > 0
-    stopped = np.bincount(segment, codes == STOP) > 0
-    listed = 6 * np.bincount(segment, codes == COMMA) > size
+    spoilt = np.bincount(segment, np.isin(mark, (TAG, ADDRESS, LINK))) > 0
+    stopped = np.bincount(segment, mark == STOP) > 0
+    listed = 6 * np.bincount(segment, mark == COMMA) > size
     sentence = (size >= 5) & ~spoilt & ~listed & stopped
     total = np.bincount(page, weights, pages)
     inside = np.bincount(page, weights * sentence[segment], pages)
-    rare = np.bincount(page, weights * (codes == WORD), pages) if known else np.zeros(pages)
-    good = (total >= 12) & (inside >= PROSE_SENTENCES * total) & (rare <= PROSE_RARE * total)
-    return good & (_repeats(codes, page, pages) <= PROSE_REPEATS)
+    good = (total >= 12) & (inside >= PROSE_SENTENCES * total)
+    return good & (_repeats(np.where(capital, NAME, np.where(word, raw, mark)), page, pages) <= PROSE_REPEATS)
 
 
 def _repeats(codes: np.ndarray, page: np.ndarray, pages: int) -> np.ndarray:
     """Share of each page's four-token runs without names and stops that have occurred on it before."""
     n = max(0, len(codes) - 3)
     mult = np.array([1_000_003, 998_244_353, 754_974_721, 167_772_161], np.int64)
-    run, plain = page[:n] * 2_305_843_009, np.ones(n, bool)
+    run, plain = np.zeros(n, np.int64), np.ones(n, bool)
     for k in range(4):
         part = codes[k : n + k]
-        run = run + part * mult[k]
+        run += part * mult[k]
         plain &= ~np.isin(part, (NAME, PAGE, STOP))
-    _, first = np.unique(run[plain], return_index=True)
-    where = page[:n][plain]
-    every, distinct = np.bincount(where, minlength=pages), np.bincount(where[first], minlength=pages)
+    # 40 bits of the run behind the page's number, so that one sort of numbers tells both.
+    run = np.sort((page[:n][plain] << 40) | ((run[plain] * 2_305_843_009 >> 20) & ((1 << 40) - 1)))
+    every = np.bincount(run >> 40, minlength=pages)
+    distinct = np.bincount(run[np.r_[True, run[1:] != run[:-1]][: len(run)]] >> 40, minlength=pages)
     return 1 - distinct / np.maximum(every, 1)
 
 
@@ -250,33 +263,27 @@ def _pages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _function_words(pages: DataFrame) -> np.ndarray:
-    """Sorted hashes of words in lower case of FUNCTION_SHARE of the prose pages or more; of the commonest, MOST_FUNCTION."""
+    """Sorted hashes of words in lower case of FUNCTION_SHARE of the prose pages or more: as many as a page has distinct words, over that share, at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, starts = _pages(batch)
             if not len(starts):
                 continue
-            # Before function words are known each lower-case word is a code of its own.
+            page = _page_of(starts, len(raw))
             lower = (raw >= WORDS) & ((raw - WORDS) & 1 == 0)
-            codes = np.where(lower, ((raw.astype(np.int64) - WORDS) >> 2) + len(CLASSES), np.where(raw >= WORDS, NAME, raw))
-            weights = ((raw >= WORDS) | np.isin(raw, (NUMBER, TAG, ADDRESS))).astype(float)
-            good = prose_pages(codes, weights, starts, known=False)
-            page = _page_of(starts, len(codes))
-            inside = lower & good[page]
-            once = np.unique(page[inside] * _HASHES + codes[inside] - len(CLASSES)) % _HASHES
+            once = np.unique((page[lower] << 28) | ((raw[lower].astype(np.int64) - WORDS) >> 2)) & (_HASHES - 1)
             h, n = np.unique(once, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[h, -1]), pa.array(np.r_[n, good.sum()].astype(np.int64))], names=["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[h, -1]), pa.array(np.r_[n, len(starts)].astype(np.int64))], names=["h", "n"])
 
-    counted = pages.select("raw").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).checkpoint()
+    counted = pages.where("prose").select("raw").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).checkpoint()
     total = counted.where("h = -1").agg(F.sum("n")).first()[0] or 0
-    common = counted.where((F.col("h") >= 0) & (F.col("n") >= max(2, FUNCTION_SHARE * total)))
-    rows = common.orderBy(F.col("n").desc(), "h").limit(MOST_FUNCTION).select("h").toPandas()
+    rows = counted.where((F.col("h") >= 0) & (F.col("n") >= max(2, FUNCTION_SHARE * total))).select("h").toPandas()
     return np.sort(rows["h"].to_numpy(np.int64))
 
 
 def _trigrams(pages: DataFrame, function: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the trigrams of prose pages; keys are numbers in base of the number of codes."""
+    """Keys and counts of the trigrams that prose pages agree on; keys are numbers in base of the number of codes."""
     size = len(CLASSES) + len(function)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,15 +291,26 @@ def _trigrams(pages: DataFrame, function: np.ndarray) -> tuple[np.ndarray, np.nd
             raw, starts = _pages(batch)
             if not len(starts):
                 continue
+            # Copies of a page, near ones mostly too, have the same least hash of four words and count as one.
+            four = (raw.astype(np.int64) + 1) * 0x2545F4914F6CDD1D
+            four[:-3] += four[1:-2] * 31 + four[2:-1] * 961 + four[3:] * 29791
+            group = np.minimum.reduceat((four ^ four >> 29) * 0x1B873593CC9E2D51 & (2**62 - 1), starts) >> 20 & 63
             codes, weights, starts = classes(raw, starts, function)
-            good = prose_pages(codes, weights, starts)[_page_of(starts, len(codes))]
+            page = _page_of(starts, len(codes))
+            common = np.bincount(page, weights * (codes == WORD), len(starts)) <= PROSE_RARE * np.bincount(page, weights, len(starts))
             two, one = _before(codes, starts)
-            keys, n = np.unique(((two * size + one) * size + codes)[good], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+            keys = (two * size + one) * size + codes
+            both, n = np.unique((keys << 6 | group[page])[common[page]], return_counts=True)
+            if not len(both):
+                continue
+            first = np.flatnonzero(np.r_[True, both[1:] >> 6 != both[:-1] >> 6])
+            seen = np.bitwise_or.reduceat(np.int64(1) << (both & 63), first)
+            yield pa.RecordBatch.from_arrays([pa.array(both[first] >> 6), pa.array(np.add.reduceat(n, first).astype(np.int64)), pa.array(seen)], names=["key", "n", "seen"])
 
-    # The model is bounded by its vocabulary, not by the corpus: trigrams of MOST_FUNCTION words seen in prose.
-    model = pages.select("raw").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    return model["key"].to_numpy(np.int64), model["n"].to_numpy(np.int64)
+    counted = pages.where("prose").select("raw").mapInArrow(count, "key long, n long, seen long").groupBy("key").agg(F.sum("n").alias("n"), F.bit_or("seen").alias("seen")).checkpoint()
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    known = counted.where((F.bit_count("seen") >= LEAST_PAGES) & (F.col("n") >= LEAST_PART * total)).select("key", "n").toPandas()
+    return known["key"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
 
 
 def spam_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,11 +330,13 @@ def spam_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for batch in batches:
-            raw = [coder.page(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(raw, pa.binary())], names=["doc", "raw"])
+            raw = pa.array([coder.page(t) for t in batch.column("text").to_pylist()], pa.binary())
+            coded = pa.RecordBatch.from_arrays([batch.column("doc"), raw], names=["doc", "raw"])
+            good = prose_pages(*_pages(coded)) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*coded.columns, pa.array(good, pa.bool_())], names=["doc", "raw", "prose"])
 
     # Texts are tokenised once; the passes that follow read codes of four bytes a word.
-    pages = rows.mapInArrow(read, f"doc {kind}, raw binary").checkpoint()
+    pages = rows.mapInArrow(read, f"doc {kind}, raw binary, prose boolean").checkpoint()
     function = _function_words(pages)
     keys, counts = _trigrams(pages, function)
     size = len(CLASSES) + len(function)
@@ -334,35 +354,38 @@ def spam_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             codes, weights, starts = classes(raw, starts, words)
             page, pages = _page_of(starts, len(codes)), len(starts)
             cost = trigrams.costs(codes, starts)
-            step = np.minimum(windowed(cost, starts) / STEP, STEPS - 1).astype(np.int64)
-            spread = np.bincount(page * STEPS + step, weights, pages * STEPS).reshape(pages, STEPS).astype(np.float32)
-            good = prose_pages(codes, weights, starts)[page]
-            normal = np.zeros((pages, STEPS), np.int64)
-            normal[0] = np.bincount(step[good], minlength=STEPS)
+            window = windowed(cost, starts)
+            step = np.minimum(window / STEP, STEPS - 1).astype(np.int64)
+            spread = np.bincount(page * STEPS + step, weights, pages * STEPS).reshape(pages, STEPS)
+            total = spread.sum(axis=1)
+            # Shares of the page's words in steps of 1/65535.
+            spread = np.rint(spread * (65535 / np.maximum(total, 1))[:, None]).astype(np.uint16)
+            good = batch.column("prose").to_numpy(zero_copy_only=False)[page]
+            fine = np.bincount(np.minimum(window[good] / FINE_STEP, FINE - 1).astype(np.int64), minlength=FINE).astype(np.int64)
             mean = np.bincount(page, cost, pages) / np.bincount(page, minlength=pages)
-            binary = pa.array([r.tobytes() for r in spread], pa.binary())
             # The batch's prose is told once, with its first page.
-            prose = pa.array([normal[0].tobytes()] + [None] * (pages - 1), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.bincount(page, weights, pages).astype(np.int32)), pa.array(mean), binary, prose], names=["doc", "n_words", "mean_cost", "spread", "prose"])
+            prose = pa.array([fine.tobytes()] + [None] * (pages - 1), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(total.astype(np.int32)), pa.array(mean), pa.array([r.tobytes() for r in spread], pa.binary()), prose], names=["doc", "n_words", "mean_cost", "spread", "prose"])
 
     # Words of each page by the cost around them, in steps: bounds and shares both follow from these.
     spreads = pages.mapInArrow(score, f"doc {kind}, n_words int, mean_cost double, spread binary, prose binary").checkpoint()
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(STEPS, np.int64)
+        total = np.zeros(FINE, np.int64)
         for batch in batches:
             for x in batch.column("prose").to_pylist():
                 total += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS)), pa.array(total)], names=["step", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FINE)), pa.array(total)], names=["step", "n"])
 
     told = spreads.where("prose IS NOT NULL").select("prose").mapInArrow(normal, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").toPandas()
     share = (told["n"].cumsum() / max(1, told["n"].sum())).to_numpy()
-    high, low = int(np.searchsorted(share, HIGH)), int(LOW * np.searchsorted(share, 1 - HIGH))
+    low, middle, upper = (float(np.searchsorted(share, q)) * FINE_STEP for q in (0.01, 0.5, 0.9))
+    low, high = round(LOW * low / STEP), round((middle + HIGH * (upper - middle)) / STEP)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spread = np.array([np.frombuffer(x, np.float32) for x in batch.column("spread").to_pylist()]).reshape(-1, STEPS)
-            total, bad = spread.sum(axis=1), spread[:, high + 1 :].sum(axis=1) + spread[:, :low].sum(axis=1)
+            spread = np.array([np.frombuffer(x, np.uint16) for x in batch.column("spread").to_pylist()], np.int64).reshape(-1, STEPS)
+            total, bad = spread.sum(axis=1), spread[:, high:].sum(axis=1) + spread[:, :low].sum(axis=1)
             none = total == 0
             mean = np.asarray(batch.column("mean_cost"))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n_words"), pa.array((bad / np.maximum(total, 1)).astype(np.float64), mask=none), pa.array(mean, mask=none), pa.array(bad > FLAG_SHARE * total)], names=["doc", "n_words", "abnormal_share", "mean_cost", "spam"])

@@ -359,14 +359,17 @@ def _pages(spark):
     sentence = lambda: f"{pick(subjects)} {pick(verbs)} {pick(things)} {pick(ends)}.".capitalize()
     rows = [(i, " ".join(sentence() for _ in range(8))) for i in range(260)] + [(i, "\n".join("- " + sentence() for _ in range(8))) for i in range(260, 300)]
     rows += [(1001, " ".join("#giare #banhang" for _ in range(40))), (1002, "áo tế giá rẻ, " * 40), (1003, "\n".join(f"* [[Núi Lan {i}]]" for i in range(40))), (1004, "\n".join(f"http://a{i}.example/x" for i in range(40))), (1005, sentence() + " " + "mua gốm giá rẻ vì gốm bán sỉ tại gốm lò. " * 20)]
+    # Four copies of shuffled words, led and ended by real sentences; they are prose by their build.
+    words = " ".join(sentence() for _ in range(12)).split(" ")
+    rows += [(1006 + i, text) for text in [sentence() + " " + " ".join(words[j] for j in rng.permutation(len(words))) + " " + sentence()] for i in range(4)]
     rows += [(2001, "\n".join("- " + sentence() for _ in range(9))), (2002, " ".join(sentence() for _ in range(9)) + "\nhttp://a.example\nhttp://b.example"), (2003, None), (2004, ""), (2005, "..."), (2001, rows[0][1]), (None, "x")]
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
 def test_spam(spark):
     got = spam_scores(clashing(_pages(spark))).collect()
-    assert {r["doc"] for r in got if r["spam"]} == {1001, 1002, 1003, 1004, 1005}
-    assert all(r["abnormal_share"] is None for r in got if r["doc"] in (2003, 2004, 2005)) and len(got) == 311
+    assert {r["doc"] for r in got if r["spam"]} == set(range(1001, 1010))
+    assert all(r["abnormal_share"] is None for r in got if r["doc"] in (2003, 2004, 2005)) and len(got) == 315
     assert spam_scores(_pages(spark).limit(0)).count() == 0
     nothing = spam_scores(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).collect()
     assert nothing[0]["spam"] is False
