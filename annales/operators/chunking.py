@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,20 +21,17 @@ LEAD = "Mở đầu"
 
 def pieces_of(sections: list[dict], config: Config) -> list[dict]:
     """Pieces (path, text, tokens, sections) of one article; small neighbours under one top heading are joined."""
+    cut = ((s["path"], " ".join(g)) for s in sections for g in pack(sentences(s["text"] or ""), config.target_tokens, config.overlap_sentences, config.min_tokens))
     out: list[dict] = []
-    for section in sections:
-        path = section["path"]
-        for group in pack(sentences(section["text"] or ""), config.target_tokens, config.overlap_sentences, config.min_tokens):
-            text = " ".join(group)
-            n, last = tokens(text), out[-1] if out else None
-            if last and last["path"].split(" > ")[0] == path.split(" > ")[0] and last["tokens"] + n <= config.target_tokens:
-                last["text"] += "\n" + text
-                last["tokens"] += n
-                last["sections"].append(path)
-                if last["path"] != path:
-                    last["path"] = path.split(" > ")[0]
-            else:
-                out.append({"path": path, "text": text, "tokens": n, "sections": [path]})
+    for top, run in groupby(cut, key=lambda p: p[0].split(" > ")[0]):
+        pieces = [(path, text, tokens(text)) for path, text in run]
+        total = [0, *accumulate(n for _, _, n in pieces)]
+        at = 0
+        while at < len(pieces):
+            end = max(at + 1, bisect_right(total, total[at] + config.target_tokens) - 1)
+            paths = [path for path, _, _ in pieces[at:end]]
+            out.append({"path": paths[0] if len(set(paths)) == 1 else top, "text": "\n".join(text for _, text, _ in pieces[at:end]), "tokens": total[end] - total[at], "sections": paths})
+            at = end
     return out
 
 
