@@ -1,18 +1,17 @@
 """Problem 8: mix sources to target weights.
 
 Method: Pfair scheduling. Each source is a periodic task whose weight is its
-target share; its j-th block is released at floor(j / w) and due at
-ceil((j + 1) / w), and an earliest-deadline-first pass over released blocks
-interleaves the sources so that each is less than one block away from its share
-at every moment. With weights quantised to multiples of 1/`period` that pass
-repeats every `period` slots, so it is worked out once over `period` slots and
-applied to all blocks by arithmetic, without a sequential pass over the corpus.
+share of the mixture's blocks; its j-th block is released at floor(j / w) and
+due at ceil((j + 1) / w), and an earliest-deadline-first pass over released
+blocks interleaves the sources so that each is less than one block away from its
+share at every moment. A source that can't reach its target gets the weight of
+what it can give, so that all sources end together. The pass runs over blocks,
+whose number is bounded; documents take the places of their blocks by arithmetic.
 """
 
 from __future__ import annotations
 
 import heapq
-from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,30 +19,21 @@ from pyspark.sql.window import Window
 
 from annales.session import ensure_checkpoint_dir
 
+#: Least tokens of a block.
 BLOCK_TOKENS = 4096
-#: Slots after which the schedule repeats; weights are rounded to multiples of its inverse.
-PERIOD = 1000
-#: Buckets by which a source's running total is split, so that no task sums a whole source.
-BUCKETS = 256
-
-
-def quantise(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in one period, by largest remainder; the sum is `period`."""
-    total = sum(Fraction(str(s)) for s in shares.values())
-    exact = {k: Fraction(str(s)) * period / total for k, s in shares.items()}
-    slots = {k: int(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (slots[k] - exact[k], k))[: period - sum(slots.values())]:
-        slots[k] += 1
-    return slots
+#: Slots of the schedule at most, besides one for each source; blocks of a larger mixture are as much larger.
+MOST_SLOTS = 1_000_000
+#: Documents of a source in a bucket, whose running total one task works out.
+BUCKET_DOCS = 50_000
 
 
 def pfair_pattern(slots: dict[str, int]) -> list[str]:
-    """The source scheduled in each slot of one period.
+    """The source scheduled in each slot, given the number of blocks of each.
 
-    Blocks j of a task with weight n/period are eligible from floor(j*period/n)
-    and due at ceil((j+1)*period/n); among eligible ones the earliest due runs,
-    ties going to the block whose window overlaps its successor's, then to the
-    heavier source, then by name.
+    Block j of a task of n blocks out of `period` is eligible from
+    floor(j*period/n) and due at ceil((j+1)*period/n); among eligible ones the
+    earliest due runs, ties going to the block whose window overlaps its
+    successor's, then to the heavier source, then by name.
     """
     period = sum(slots.values())
     later = [(0, name, 0) for name, n in slots.items() if n > 0]
@@ -69,15 +59,14 @@ def source_sizes(docs: DataFrame, tokens: Column, key: str = "doc_id", source: s
 
 
 def mix_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target source: what it should give, can give and gives.
+    """One row per target source: what it should give, can give and is planned to give.
 
     `sizes` as of source_sizes, `targets` with source, target_share, max_repeats.
     A source's goal is target_share of the size of all documents with a source;
-    its capacity is its own size times max_repeats; it gives the smaller of the
-    two. `reachable` is false where the capacity falls short. Sources without
-    documents have size 0; sources without a target give nothing but count in
-    the total; targets with a null source are dropped. An empty corpus makes
-    every goal 0 and every source reachable, with a null actual_share.
+    its capacity is its own size times max_repeats; planned is the smaller of the
+    two. Sources without documents have size 0; sources without a target give
+    nothing but count in the total; targets with a null source are dropped, null
+    shares are 0 and null repeats 1. An empty corpus makes every goal 0.
     """
     by_source = sizes.groupBy("source").agg(F.sum("tokens").alias("size_tokens"), F.count(F.lit(1)).alias("n_docs"))
     total = by_source.agg(F.coalesce(F.sum("size_tokens"), F.lit(0)).alias("total_tokens"))
@@ -86,42 +75,67 @@ def mix_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     rows = goals.join(by_source, "source", "left").join(F.broadcast(total), F.lit(True), "inner")
     rows = rows.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"), F.coalesce("size_tokens", F.lit(0)).alias("size_tokens"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "total_tokens")
     rows = rows.withColumn("goal_tokens", F.col("target_share") * F.col("total_tokens")).withColumn("capacity_tokens", F.col("size_tokens") * F.col("max_repeats"))
-    rows = rows.withColumn("reachable", F.col("capacity_tokens") >= F.col("goal_tokens")).withColumn("given_tokens", F.least("goal_tokens", F.col("capacity_tokens").cast("double")))
-    given = F.sum("given_tokens").over(Window.partitionBy())
-    return rows.withColumn("actual_share", F.when(given > 0, F.col("given_tokens") / given))
+    return rows.withColumn("planned_tokens", F.least("goal_tokens", F.col("capacity_tokens").cast("double")))
+
+
+def _kept(sizes: DataFrame) -> DataFrame:
+    """Sizes written once, as they are used several times; tokenising is the dear part."""
+    ensure_checkpoint_dir(sizes.sparkSession)
+    return sizes.checkpoint()
 
 
-def mix_sources(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, period: int = PERIOD, seed: int = 0) -> DataFrame:
+def mix_sources(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, most_slots: int = MOST_SLOTS, seed: int = 0) -> DataFrame:
     """The mixture: one row per use of a document, with its copy number and place in the interleaving.
 
     Columns doc, source, copy, tokens, block, slot. Copies of a source follow one
     another, each pass in a seeded random order; a document is used when it
-    starts before the source's given tokens end, hence at most max_repeats
-    times. Documents of zero tokens are left out. `slot` orders blocks of all
-    sources as the Pfair pass schedules them.
+    starts before the source's planned tokens end, hence at most max_repeats
+    times. Documents of zero tokens are left out, as are targets without a
+    document. `slot` orders blocks of all sources as the Pfair pass schedules
+    them; every slot holds one block.
     """
-    ensure_checkpoint_dir(sizes.sparkSession)
-    sizes = sizes.where(F.col("tokens") > 0).checkpoint()  # sizes are used three times; tokenising is the dear part
-    report = mix_report(sizes, targets)
-    # The report has one row per source of the target table, whose size is that of the request.
-    plan = report.select("source", "target_share", "size_tokens", "given_tokens").collect()
-    slots = quantise({r["source"]: r["target_share"] for r in plan if r["target_share"] > 0}, period) if any(r["target_share"] > 0 for r in plan) else {}
-    order: dict[str, list[int]] = {name: [] for name in slots}
-    for at, name in enumerate(pfair_pattern(slots)):
-        order[name].append(at)
+    return _mixture(_kept(sizes), targets, block_tokens, most_slots, seed)
+
+
+def _mixture(sizes: DataFrame, targets: DataFrame, block_tokens: int, most_slots: int, seed: int) -> DataFrame:
     spark = sizes.sparkSession
-    rows = [(r["source"], float(r["given_tokens"]), int(r["size_tokens"]), order[r["source"]]) for r in plan if r["source"] in order and r["size_tokens"]]
-    per_source = F.broadcast(spark.createDataFrame(rows, "source string, given double, size long, places array<int>"))
-    shuffled = sizes.withColumn("_h", F.xxhash64("doc", F.lit(seed))).withColumn("_b", F.pmod(F.col("_h"), F.lit(BUCKETS)))
+    sizes = sizes.where(F.col("tokens") > 0)
+    # One row per source of the target table, whose size is that of the request.
+    plan = [r for r in mix_report(sizes, targets).collect() if r["planned_tokens"] > 0]
+    block = max(block_tokens, -(-int(sum(r["planned_tokens"] for r in plan)) // most_slots))
+    places: dict[str, list[int]] = {r["source"]: [] for r in plan}
+    for at, name in enumerate(pfair_pattern({r["source"]: int(-(-r["planned_tokens"] // block)) for r in plan})):
+        places[name].append(at)
+    rows = [(r["source"], float(r["planned_tokens"]), int(r["size_tokens"]), -(-int(r["n_docs"]) // BUCKET_DOCS), places[r["source"]]) for r in plan]
+    # Bounded by most_slots numbers and the rows of the target table.
+    per_source = F.broadcast(spark.createDataFrame(rows, "source string, planned double, size long, buckets int, places array<int>"))
+    asked = sizes.join(per_source.select("source", "buckets"), "source")
+    shuffled = asked.withColumn("_h", F.xxhash64("doc", F.lit(seed))).withColumn("_b", F.pmod(F.col("_h"), F.col("buckets").cast("long"))).drop("buckets")
     buckets = shuffled.groupBy("source", "_b").agg(F.sum("tokens").alias("_n"))
     before = buckets.withColumn("_before", F.sum("_n").over(Window.partitionBy("source").orderBy("_b")) - F.col("_n")).select("source", "_b", "_before")
     inside = F.sum("tokens").over(Window.partitionBy("source", "_b").orderBy("_h", "doc")) - F.col("tokens")
-    placed = shuffled.withColumn("_in", inside).join(F.broadcast(before), ["source", "_b"]).withColumn("_start", F.col("_before") + F.col("_in")).join(per_source, "source")
-    # Copies that start before the given tokens end.
-    copies = F.ceil((F.col("given") - F.col("_start")) / F.col("size")).cast("int")
+    placed = shuffled.withColumn("_in", inside).join(before, ["source", "_b"]).withColumn("_start", F.col("_before") + F.col("_in")).join(per_source, "source")
+    # Copies that start before the planned tokens end.
+    copies = F.ceil((F.col("planned") - F.col("_start")) / F.col("size")).cast("int")
     used = placed.withColumn("_copies", copies).where(F.col("_copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     at = F.col("_start") + (F.col("copy") - 1) * F.col("size")
-    used = used.withColumn("block", F.floor(at / F.lit(block_tokens)).cast("long"))
-    n = F.size("places")
-    slot = F.floor(F.col("block") / n) * F.lit(period) + F.element_at("places", (F.pmod(F.col("block"), n.cast("long")) + 1).cast("int"))
-    return used.select("doc", "source", "copy", "tokens", "block", slot.cast("long").alias("slot"))
+    used = used.withColumn("block", F.floor(at / F.lit(block)).cast("long"))
+    return used.select("doc", "source", "copy", "tokens", "block", F.element_at("places", (F.col("block") + 1).cast("int")).cast("long").alias("slot"))
+
+
+def mix_shares(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, most_slots: int = MOST_SLOTS, seed: int = 0) -> DataFrame:
+    """One row per target source: the plan of mix_report and what the scheduled mixture holds.
+
+    given_tokens, used_docs and blocks are counted from the rows of mix_sources
+    with the same parameters; actual_share is given_tokens over all given tokens
+    (null for an empty mixture); `reachable` is whether the given tokens reach
+    the goal. A source gives more than its goal by less than a document.
+    """
+    sizes = _kept(sizes)
+    mixture = _mixture(sizes, targets, block_tokens, most_slots, seed)
+    given = mixture.groupBy("source").agg(F.sum("tokens").alias("given_tokens"), F.count(F.lit(1)).alias("used_docs"), F.max("block").alias("_last"), F.max("copy").alias("copies"))
+    rows = mix_report(sizes, targets).join(given, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("given_tokens", "used_docs", "copies")})
+    rows = rows.withColumn("blocks", F.coalesce(F.col("_last") + 1, F.lit(0))).drop("_last")
+    # As many rows as the target table has.
+    total = F.sum("given_tokens").over(Window.partitionBy())
+    return rows.withColumn("actual_share", F.when(total > 0, F.col("given_tokens") / total)).withColumn("reachable", F.col("given_tokens") >= F.col("goal_tokens"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from annales.llm.leakage import leaked_items
 from annales.llm.markup import clean_texts, marked_blocks
-from annales.llm.mixing import mix_report, mix_sources, source_sizes
+from annales.llm.mixing import mix_shares, mix_sources, source_sizes
 from annales.llm.names import name_links, same_names
 from annales.llm.neighbours import similar_vectors
 from annales.llm.spam import spam_scores
@@ -99,12 +99,12 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_report(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")).where(~F.col("reachable")).select("source")
+    return mix_shares(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")).where(~F.col("reachable")).select("source")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = mix_report(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
-    return report.select("source", "target_share", "max_repeats", "size_tokens", "capacity_tokens", F.round("given_tokens", 3).alias("given_tokens"), F.round("actual_share", 6).alias("actual_share"), "reachable")
+    shares = mix_shares(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return shares.select("source", "target_share", "max_repeats", "size_tokens", "capacity_tokens", "given_tokens", "used_docs", "blocks", "copies", F.round("actual_share", 6).alias("actual_share"), "reachable")
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
