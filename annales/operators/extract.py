@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from annales.config import DEFAULT, Config
 from annales.functions.fuzzy import partial_similarity
 from annales.functions.text import guess_type, infobox_key, normalize_key
+from annales.sources.files import memo_key
 
 #: Relations with the types of their heads and tails (fixed values).
 ONTOLOGY = {
@@ -74,6 +75,136 @@ def from_infobox(articles: DataFrame, rules: Mapping[str, Mapping[str, tuple[str
     return lines.select(*_triplet(F.col("relation"), F.col("value_heads"), F.col("title"), F.col("_v")), "start_year", "end_year", F.col("title").alias("year_target"), F.lit(0.95).alias("confidence"), F.lit("infobox").alias("source"), F.col("page_id").alias("article_id"))
 
 
+def from_backbone(capitals: DataFrame | None, lists: DataFrame | None) -> DataFrame:
+    """Triplets of curated lists, confidence 1.
+
+    capitals: place, polity, start_year, end_year. lists (dynasties and names of
+    states): section, position, name, founder, ruler, capital, predecessor,
+    successor, start_year, end_year. Each entry gives what it names; neighbours
+    of a section succeed each other unless the later one names the earlier as
+    its predecessor already. Null fields give nothing; years stay on the edge.
+    """
+    parts = []
+    shape = ["head", "relation", "tail", "start_year", "end_year"]
+    if capitals is not None:
+        parts.append(capitals.where("place IS NOT NULL AND polity IS NOT NULL").select(F.col("place").alias("head"), F.lit("CAPITAL_OF").alias("relation"), F.col("polity").alias("tail"), "start_year", "end_year"))
+    if lists is not None:
+        named = lists.where("name IS NOT NULL")
+        told = [("founder", "FOUNDED", True), ("ruler", "RULED", True), ("capital", "CAPITAL_OF", True), ("predecessor", "SUCCEEDED", False), ("successor", "SUCCEEDED", True)]
+        # A field is the head of its triplet, or the name is.
+        each = F.array(*[F.struct((F.col(c) if head else F.col("name")).alias("head"), F.lit(r).alias("relation"), (F.col("name") if head else F.col(c)).alias("tail")) for c, r, head in told])
+        rows = named.select(F.explode(each).alias("_t"), "start_year", "end_year").select("_t.*", "start_year", "end_year")
+        parts.append(rows.where("head IS NOT NULL AND tail IS NOT NULL AND (relation <> 'SUCCEEDED' OR head <> tail)"))
+        order = Window.partitionBy("section").orderBy("position")
+        chained = lists.withColumn("_before", F.lag("name").over(order)).where("name IS NOT NULL AND _before IS NOT NULL AND _before <> name AND NOT predecessor <=> _before")
+        parts.append(chained.select(F.col("name").alias("head"), F.lit("SUCCEEDED").alias("relation"), F.col("_before").alias("tail"), "start_year", "end_year"))
+    if not parts:
+        raise ValueError("no list")
+    out = parts[0].select(*shape)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*shape))
+    return out.select(*shape, F.lit(None).cast("string").alias("year_target"), F.lit(1.0).alias("confidence"), F.concat(F.lit("backbone:"), "head", F.lit(" "), "relation", F.lit(" "), "tail").alias("evidence"), F.lit("backbone").alias("source"))
+
+
+def structured(backbone: DataFrame, articles: DataFrame, parts: Mapping[str, DataFrame], period: str | None = None, era: str | None = None, periods: DataFrame | None = None) -> DataFrame:
+    """Triplets that need no model: the backbone whole, and those of `parts` (name of source -> triplets with article_id) whose article lies in the period or era.
+
+    articles: page_id, period_id[, era_id]. An era stands for its periods in the
+    table of periods; one that the table lacks is compared with era_id. `source`
+    is rewritten to the part's name.
+    """
+    shape = ["head", "relation", "tail", "start_year", "end_year", "year_target", "confidence", "source"]
+    kept = articles
+    if period is not None:
+        kept = kept.where(F.col("period_id") == period)
+    if era is not None:
+        inside = F.col("era_id") == era if "era_id" in kept.columns else F.lit(False)
+        if periods is not None:
+            of_era = F.broadcast(periods.where(F.col("era_id") == era).select(F.col("id").alias("period_id"), F.lit(True).alias("_in")))
+            kept = kept.join(of_era, "period_id", "left")
+            inside = F.coalesce("_in", inside, F.lit(False))
+        kept = kept.where(inside)
+    out = backbone.select(*shape)
+    for name, rows in parts.items():
+        if period is not None or era is not None:
+            rows = rows.join(kept.select(F.col("page_id").alias("article_id")).distinct(), "article_id", "left_semi")
+        out = out.unionByName(rows.withColumn("source", F.lit(name)).select(*shape))
+    return out
+
+
+def with_period_context(chunks: DataFrame, periods: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks with what a prompt says of their period: name, era and the `extra` lists (roles, polities); null where it is unknown."""
+    dim = periods.select(F.col("id").alias("period_id"), F.col("name").alias("period_name"), F.col("era_id").alias("period_era"), *extra)
+    return chunks.join(F.broadcast(dim), "period_id", "left")
+
+
+def applicable_relations(entities: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, relations): relations, as lines of a prompt, whose head and tail types both occur among a chunk's entities (key, type)."""
+    rules = F.broadcast(ontology_table(entities.sparkSession))
+    present = entities.where("type IS NOT NULL").groupBy(key).agg(F.collect_set("type").alias("_types"))
+    # A chunk's types lie in a set of fixed size; the ontology is a constant.
+    rows = present.join(rules, F.arrays_overlap("_types", "domain") & F.arrays_overlap("_types", "range"))
+    listed = lambda c: F.concat_ws("/", F.array_sort(F.array_intersect(c, "_types")))
+    line = F.concat(F.lit("- "), "relation", F.lit(": ("), listed("domain"), F.lit(") -> ("), listed("range"), F.lit(")"))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("relations"))
+
+
+#: Most roles, polities and links that a prompt hints at.
+HINTS = {"roles": 8, "polities": 6, "links": 10}
+
+
+def prompts(chunks: DataFrame, entities: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """(key, prompt): what a model is asked about a chunk: its header, text and hints; in a second pass also its entities and the relations these allow.
+
+    chunks: key, header, text and, as they exist, period_name, roles, polities,
+    links. entities: chunk_id, name, type.
+    """
+    have = lambda c: F.col(c) if c in chunks.columns else F.lit(None).cast("string")
+    hint = [F.concat(F.lit(f"{name}: "), F.nullif(F.concat_ws(", ", F.slice(name, 1, n)), F.lit(""))) for name, n in HINTS.items() if name in chunks.columns]
+    period = F.concat(F.lit("period: "), have("period_name"))
+    rows = chunks.withColumn("_hints", F.concat_ws("\n", period, *hint))
+    told = [F.col("header"), F.col("text")] if "header" in chunks.columns else [F.col("text")]
+    if entities is not None:
+        lines = entities.where("name IS NOT NULL AND type IS NOT NULL").groupBy(F.col("chunk_id").alias(key)).agg(F.array_sort(F.collect_set(F.concat(F.lit("- "), "name", F.lit(" ("), "type", F.lit(")")))).alias("_e"))
+        allowed = applicable_relations(entities.withColumnRenamed("chunk_id", key), key)
+        rows = rows.join(lines, key, "left").join(allowed, key, "left")
+        told += [F.concat(F.lit("ENTITIES:\n"), F.concat_ws("\n", "_e")), F.concat(F.lit("RELATIONS:\n"), F.concat_ws("\n", "relations"))]
+    filled = [F.nullif(c, F.lit("")) for c in [*told, F.col("_hints")]]
+    return rows.select(key, F.concat_ws("\n\n", *filled).alias("prompt"))
+
+
+def two_passes(chunks: DataFrame, find: Callable[[DataFrame], DataFrame], relate: Callable[[DataFrame], DataFrame], key: str = "id", version: str = "v1") -> tuple[DataFrame, DataFrame]:
+    """(entities, triplets) of chunks by two calls of plug-ins.
+
+    `find` maps rows (key, call_key, prompt) to (key, name, type), `relate` rows
+    of the second prompt to triplets with the key. The second call's key holds a
+    hash of the entities found, so that another first result isn't answered from
+    a memo.
+    """
+    first = prompts(chunks, key=key).withColumn("call_key", memo_key(F.lit(version), F.col(key), F.col("prompt")))
+    found = find(first).withColumnRenamed(key, "chunk_id")
+    seen = found.groupBy("chunk_id").agg(F.substring(F.sha2(F.to_json(F.array_sort(F.collect_set(F.struct("name", "type")))), 256), 1, 16).alias("_h"))
+    second = prompts(chunks, found, key).join(seen.withColumnRenamed("chunk_id", key), key)
+    return found, relate(second.select(key, memo_key(F.lit(version), F.col(key), F.col("_h"), F.col("prompt")).alias("call_key"), "prompt"))
+
+
+def summary(chunks: DataFrame, done: DataFrame, judged: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row of counts of an extraction: chunks, skipped, processed, failed, triplets, accepted, rejected.
+
+    chunks: id; done: chunk_id of former runs; judged: chunk_id, reasons of this one.
+    """
+    one = lambda df, *cols: df.agg(*cols)
+    skipped = chunks.select("id").distinct().join(done.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi")
+    parts = [one(chunks, F.count_distinct("id").alias("chunks")), one(skipped, F.count(F.lit(1)).alias("skipped"))]
+    parts.append(one(judged, F.count_distinct("chunk_id").alias("processed"), F.count(F.lit(1)).alias("triplets"), F.count_if(F.size("reasons") == 0).alias("accepted"), F.count_if(F.size("reasons") > 0).alias("rejected")))
+    parts.append(one(failed, F.count_distinct("chunk_id").alias("failed")) if failed is not None else one(judged.limit(0), F.count(F.lit(1)).alias("failed")))
+    out = parts[0]
+    for part in parts[1:]:
+        # Rows of one each.
+        out = out.join(F.broadcast(part), F.lit(True), "inner")
+    return out
+
+
 def succession(items: DataFrame, group: str, position: str, name: str = "name", explicit: str | None = None) -> DataFrame:
     """(head, relation, tail): each of two neighbours in a list succeeds the one before, unless it names another or itself."""
     order = Window.partitionBy(group).orderBy(position)

@@ -25,7 +25,11 @@ def merge_edges(edges: DataFrame, order: str) -> DataFrame:
     """
     props = [c for c in edges.columns if c not in ("src", "rel", "dst", "evidence", order)]
     last = F.max_by(F.struct(*props), F.col(order)) if props else F.first(F.lit(None))
-    merged = edges.groupBy("src", "rel", "dst").agg(last.alias("_p"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("evidence", F.array().cast("array<string>")))))).alias("evidence"))
+    merged = edges.groupBy("src", "rel", "dst").agg(last.alias("_p"))
+    # Repeats of an edge that a third of all rows tells fall together before they are shuffled.
+    told = edges.select("src", "rel", "dst", F.explode("evidence").alias("_e")).where("_e IS NOT NULL").distinct()
+    told = told.groupBy("src", "rel", "dst").agg(F.array_sort(F.collect_list("_e")).alias("evidence"))
+    merged = merged.join(told, [merged[c].eqNullSafe(told[c]) for c in ("src", "rel", "dst")], "left").select(*[merged[c] for c in ("src", "rel", "dst")], "_p", F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
     return merged.select(F.concat(F.lit("rel:"), "src", F.lit(":"), "rel", F.lit(":"), "dst").alias("id"), "src", "rel", "dst", *[F.col("_p")[c].alias(c) for c in props], "evidence")
 
 
@@ -92,3 +96,37 @@ def period_shares(links: DataFrame, periods: DataFrame, warn_below: float = 0.03
     # Periods are a dimension of fixed size; the whole of it is one window.
     total = F.greatest(F.sum("n").over(Window.partitionBy()), F.lit(1))
     return rows.withColumn("share", F.round(F.col("n") / total, 6)).withColumn("warn", F.col("n") / total < warn_below)
+
+
+def part_of(periods: DataFrame, eras: DataFrame) -> DataFrame:
+    """(period_id, era_id) of periods whose era exists; eras are a dimension of fixed size."""
+    known = F.broadcast(eras.select(F.col("id").alias("era_id")).distinct())
+    return periods.select(F.col("id").alias("period_id"), "era_id").join(known, "era_id", "left_semi").select("period_id", "era_id").distinct()
+
+
+def scalar_properties(rows: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Columns that a node may bear: plain values and lists of them; maps, records and excluded ones vanish."""
+
+    def plain(kind: str) -> bool:
+        return not kind.startswith(("struct", "map", "binary", "variant")) and (not kind.startswith("array<") or plain(kind[6:-1]))
+
+    return rows.select(*[c for c, kind in rows.dtypes if c not in excluded and plain(kind)])
+
+
+def united(first: DataFrame, second: DataFrame, *key: str) -> DataFrame:
+    """Rows of both, those of the first in place of the second's with their key; repeats inside one count once."""
+    rows = first.withColumn("_n", F.lit(0)).unionByName(second.withColumn("_n", F.lit(1)))
+    rest = [c for c in rows.columns if c not in key]
+    best = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), "_n").alias("_r"))
+    return best.select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest if c != "_n"])
+
+
+def table_counts(**tables: DataFrame) -> DataFrame:
+    """(table, n): rows of each table of a build."""
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n")
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise ValueError("no table")
+    return out

@@ -42,11 +42,23 @@ class Answered:
     context: DataFrame
 
 
-def plan_rules(questions: DataFrame, periods: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(query_id, low, high, periods, out_of_scope): the longest period alias named, else the first time span."""
-    names = periods.select(F.lit("period").alias("kind"), "id", F.col("name").alias("alias"), "position")
-    named = by_alias(questions, names, "query_id", "query").join(F.broadcast(periods.select("id", F.col("start_year").alias("_a"), F.col("end_year").alias("_b"))), "id")
-    named = named.select("query_id", F.col("_a").alias("_na"), F.col("_b").alias("_nb"), F.array("id").alias("_np"))
+def plan_rules(questions: DataFrame, periods: DataFrame, config: Config = DEFAULT, eras: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """(query_id, low, high, periods, out_of_scope): the longest alias of a period or era named, else the first time span.
+
+    periods: id, name, start_year, end_year, era_id, position; eras: id, alias;
+    aliases: more names of periods (id, alias). An era stands for all its periods.
+    """
+    dim = periods.select("id", F.col("name").alias("alias"), "position")
+    if aliases is not None:
+        dim = dim.unionByName(aliases.join(periods.select("id", "position"), "id").select("id", "alias", "position"))
+    names = dim.select(F.lit("period").alias("kind"), "id", "alias", "position")
+    whole = periods.select(F.lit("period").alias("kind"), "id", F.col("start_year").alias("_na"), F.coalesce("end_year", "start_year").alias("_nb"), F.array("id").alias("_np"))
+    if eras is not None:
+        of_era = periods.groupBy(F.col("era_id").alias("id")).agg(F.min("start_year").alias("_na"), F.max(F.coalesce("end_year", "start_year")).alias("_nb"), F.array_sort(F.collect_set("id")).alias("_np"), F.min("position").alias("position"))
+        # A period comes before its era where both are named at equal length.
+        names = names.unionByName(eras.join(of_era.select("id", "position"), "id").select(F.lit("era").alias("kind"), "id", "alias", (F.col("position") + 100_000).alias("position")))
+        whole = whole.unionByName(of_era.select(F.lit("era").alias("kind"), "id", "_na", "_nb", "_np"))
+    named = by_alias(questions, names, "query_id", "query").join(F.broadcast(whole), ["kind", "id"]).select("query_id", "_na", "_nb", "_np")
     rows = questions.select("query_id", F.try_element_at(spans(F.col("query")), F.lit(1)).alias("_s")).join(named, "query_id", "left")
     low, high = F.coalesce("_na", F.col("_s.start")), F.coalesce("_nb", F.col("_s.end"))
     rows = rows.select("query_id", low.alias("low"), high.alias("high"), "_np")
@@ -55,6 +67,25 @@ def plan_rules(questions: DataFrame, periods: DataFrame, config: Config = DEFAUL
     return rows.join(met, "query_id", "left").select("query_id", "low", "high", F.coalesce("_np", "_mp", empty).alias("periods"), F.coalesce(F.col("low") > config.max_year, F.lit(False)).alias("out_of_scope"))
 
 
+def choose_scope(rules: DataFrame, asked: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
+    """(query_id, low, high, periods): years by the rules, else the user's filter, else the analyzer; periods by the analyzer, else the rules.
+
+    rules: query_id, low, high, periods; asked: query_id, low, high; told: query_id,
+    low, high, periods. A range counts as a whole, with its own end.
+    """
+    rows = rules.select("query_id", F.struct("low", "high").alias("_r"), "periods")
+    for name, df in (("_u", asked), ("_t", told)):
+        if df is None:
+            rows = rows.withColumn(name, F.lit(None).cast("struct<low:int,high:int>")).withColumn(name + "p", F.lit(None).cast("array<string>"))
+        else:
+            also = F.col("periods") if "periods" in df.columns else F.lit(None).cast("array<string>")
+            rows = rows.join(df.select("query_id", F.struct("low", "high").alias(name), also.alias(name + "p")), "query_id", "left")
+    valid = [F.when(F.col(c)["low"].isNotNull(), F.col(c)) for c in ("_r", "_u", "_t")]
+    time = F.coalesce(*valid)
+    listed = [F.when(F.size(c) > 0, F.col(c)) for c in ("_tp", "periods")]
+    return rows.select("query_id", time["low"].alias("low"), time["high"].alias("high"), F.coalesce(*listed, F.array().cast("array<string>")).alias("periods"))
+
+
 def retrieve(questions: DataFrame, store: Store, config: Config = DEFAULT, mode: str = "graph") -> Answered:
     """Everything an answer rests on, for questions (query_id, query[, mentions array]).
 

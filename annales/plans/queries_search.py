@@ -233,7 +233,13 @@ def chat_search(spark, d):
     return context.search_chats(chats, "Purchase").select("conv_id")
 
 
-@query()
+_WINDOWS = """WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x{A0}\\x{85}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{1C}-\\x{1F}\\x{B}]+', ' ', 'g')) AS x FROM documents),
+    w AS (SELECT doc_id, x, 0 AS b, 1 AS n, CASE WHEN len(x) <= 700 THEN len(x) ELSE coalesce(nullif(350 + 350 - strpos(reverse(x[351:700]), ' .'), 700), 700) END AS e FROM t WHERE len(x) > 0
+    UNION ALL SELECT doc_id, x, nb, n + 1, CASE WHEN len(x) <= nb + 700 THEN len(x) ELSE coalesce(nullif(nb + 700 - strpos(reverse(x[nb + 351:nb + 700]), ' .'), nb + 700), nb + 700) END FROM (SELECT *, greatest(e - 120, b + 1) AS nb FROM w WHERE e < len(x)))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS n, len(p) AS chars FROM (SELECT doc_id, n, trim(x[b + 1:e]) AS p FROM w) WHERE p <> ''"""
+
+
+@query(_WINDOWS)
 def doc_passages(spark, d):
     return passages(table(spark, d, "documents"), "doc_id").select("doc_id", "n", F.length("passage").alias("chars"))
 

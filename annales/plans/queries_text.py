@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from annales.functions import times
-from annales.functions.text import article_url, entity_label, estimate_tokens, guess_type, infobox_key, mention_query, nfc, normalize_key, old_tones, slug, strip_accents, year_label, year_range_label
+from annales.functions.sentences import ABBREVIATIONS
+from annales.functions.text import MOVING, TONES, article_url, entity_label, estimate_tokens, guess_type, infobox_key, mention_query, nfc, normalize_key, old_tones, slug, strip_accents, year_label, year_range_label
 from annales.operators.chunking import sentence_rows
 from annales.plans import views
 from annales.plans.queries_graph import _type_sql
@@ -116,12 +119,44 @@ def year_extract(spark, d):
     return rows.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.start", "s.end", "s.precision", "s.legendary")
 
 
-@query()
+_BLANK = "\\s\\x{A0}\\x{85}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{1C}-\\x{1F}\\x{B}"
+
+
+def _sentences_sql() -> str:
+    """Marks (1) behind abbreviations and single letters, then cuts (2) at stops before capitals and digits, and restores."""
+    short = "|".join(a.replace(".", "\\.") for a in sorted(ABBREVIATIONS, key=len, reverse=True))
+    guarded = f"regexp_replace(l, '(^|[{_BLANK}])({short}|\\p{{L}})([.!?…])', '\\1\\2' || chr(1) || '\\3', 'gi')"
+    # Neighbours share a blank, so marking is done twice.
+    guarded = f"regexp_replace({guarded}, '(^|[{_BLANK}])({short}|\\p{{L}})([.!?…])', '\\1\\2' || chr(1) || '\\3', 'gi')"
+    cut = "regexp_replace({0}, '(^|[^\\x{{01}}.!?…])([.!?…]+[\"”’»)\\]]*)[" + _BLANK.replace("{", "{{").replace("}", "}}") + "]+([\"“‘«(\\[]?[\\p{{Lu}}\\p{{Nd}}])', '\\1\\2' || chr(2) || '\\3', 'g')"
+    return f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS pos, s AS sentence FROM (
+        SELECT doc_id, i, j, regexp_replace(replace(p[j], chr(1), ''), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS s FROM (SELECT doc_id, i, p, unnest(generate_series(1, len(p))) AS j FROM (
+        SELECT doc_id, i, string_split({cut.format(cut.format(guarded))}, chr(2)) AS p FROM (SELECT doc_id, ls[i] AS l, i FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)))))) WHERE s <> ''"""
+
+
+@query(_sentences_sql())
 def sentences(spark, d):
     return sentence_rows(table(spark, d, "documents"), "doc_id")
 
 
-@query()
+def _old_tone_sql(column: str) -> str:
+    """Each of the fifteen pairs of vowels and marks, small and with a capital, at the end of a syllable and not behind q."""
+    out = column
+    for first, second in MOVING:
+        for mark in TONES:
+            new, old = (unicodedata.normalize("NFC", x) for x in (first + second + mark, first + mark + second))
+            for a, b in ((new, old), (new.capitalize(), old.capitalize())):
+                out = f"regexp_replace({out}, '(^|[^qQ]){a}($|[^\\p{{L}}])', '\\1{b}\\2', 'g')"
+    return out
+
+
+_KEPT_SIGNS = "/:()',"
+_URL = "url_encode(replace(nfc_normalize(title), ' ', '_'))"
+for _c in _KEPT_SIGNS:
+    _URL = f"replace({_URL}, '%{ord(_c):02X}', '{_c if _c != chr(39) else _c * 2}')"
+
+
+@query(f"SELECT DISTINCT page_id, {_old_tone_sql('nfc_normalize(title)')} AS title, 'https://vi.wikipedia.org/wiki/' || {_URL.replace('nfc_normalize(title)', 'title')} AS url FROM articles")
 def tone_titles(spark, d):
     return table(spark, d, "articles").select("page_id", old_tones("title").alias("title"), article_url("title").alias("url")).distinct()
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annales.plans import queries_graph, queries_search, queries_text
+from annales.plans import queries_build, queries_graph, queries_search, queries_text
 
 FLAGSHIP = "hybrid_search"
-_MODULES = (queries_graph, queries_search, queries_text)
+_MODULES = (queries_build, queries_graph, queries_search, queries_text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
