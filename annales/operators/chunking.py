@@ -76,7 +76,7 @@ def sentence_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sentences(t) if t else [])
 
-    return docs.select(key, F.posexplode(split(text)).alias("pos", "sentence"))
+    return docs.select(key, F.posexplode(split.asNondeterministic()(text)).alias("pos", "sentence"))
 
 
 def passages(docs: DataFrame, key: str, text: str = "text", config: Config = DEFAULT) -> DataFrame:
@@ -86,4 +86,4 @@ def passages(docs: DataFrame, key: str, text: str = "text", config: Config = DEF
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: windows(t, config.passage_chars, config.passage_overlap) if t else [])
 
-    return docs.select(key, F.posexplode(cut(text)).alias("_p", "passage")).select(key, (F.col("_p") + 1).alias("n"), "passage")
+    return docs.select(key, F.posexplode(cut.asNondeterministic()(text)).alias("_p", "passage")).select(key, (F.col("_p") + 1).alias("n"), "passage")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from annales.config import DEFAULT, Config
 from annales.functions.text import words
+from annales.session import ensure_checkpoint_dir
+from annales.sources.tables import spread
 
 #: Rows of a question table that may be broadcast.
 MOST_QUESTIONS = 20_000
@@ -37,28 +41,85 @@ def few(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if queries.limit(MOST_QUESTIONS + 1).count() <= MOST_QUESTIONS else queries
 
 
+def _directions(vectors: list, dims: int) -> np.ndarray:
+    """Rows at length one; those of another width, with nulls or without direction are null rows."""
+    out = np.full((len(vectors), dims), np.nan)
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == dims:
+            out[i] = np.array(v, np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return out / np.sqrt((out * out).sum(axis=1))[:, None]
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, item: str = "id", where: Column | None = None, post_filter: bool = False) -> DataFrame:
     """(query_id, item, score, rank): exact cosine of every question against all vectors.
 
     queries: query_id, vector. The filter holds before the ranking; with
     `post_filter` after the best max(4k, 40), as an index that filters late does.
-    A question set is laid over the vectors in blocks of a broadcast table.
+    Questions travel to the vectors in blocks of MOST_QUESTIONS, each a pass over
+    them; a batch of vectors keeps a question's best k by matrix product, so
+    only these are shuffled. Vectors of other width or without direction score
+    nothing.
     """
     rows = vectors if where is None or post_filter else vectors.where(where)
-    scored = rows.join(few(queries.select("query_id", F.col("vector").alias("_q"))), F.lit(True), "inner")
-    scored = scored.withColumn("score", F.round(cosine(F.col("_q"), F.col("vector")), 6)).where("score IS NOT NULL")
-    kept = [c for c in vectors.columns if c not in (item, "vector")]
-    if where is None or not post_filter:
+    late = where is not None and post_filter
+    kept = [c for c in vectors.columns if c not in (item, "vector")] if late else []
+    wide = max(4 * k, 40) if late else k
+    kinds = dict(vectors.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("query_id", item, *kept)) + ", score double"
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    blocks = -(-asked.count() // MOST_QUESTIONS)
+    scored = None
+    for n in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        block = part.toArrow()
+        if not block.num_rows:
+            continue
+        dims = max(len(v) for v in block.column("vector").to_pylist())
+        packed = queries.sparkSession.sparkContext.broadcast((block.column("query_id").combine_chunks(), _directions(block.column("vector").to_pylist(), dims)))
+
+        def near(batches: Iterator[pa.RecordBatch], packed=packed, dims=dims) -> Iterator[pa.RecordBatch]:
+            ids, seek = packed.value
+            for batch in batches:
+                unit = _directions(batch.column("vector").to_pylist(), dims)
+                good = np.flatnonzero(~np.isnan(unit).any(axis=1))
+                step = max(1, 4_000_000 // max(1, len(good)))
+                for low in range(0, len(seek) if len(good) else 0, step):
+                    score = np.round(seek[low : low + step] @ unit[good].T, 6)
+                    np.nan_to_num(score, copy=False, nan=-2.0)
+                    if len(good) > wide:
+                        floor = np.partition(score, len(good) - wide, axis=1)[:, len(good) - wide]
+                        i, j = np.nonzero((score >= floor[:, None]) & (score > -2))
+                    else:
+                        i, j = np.nonzero(score > -2)
+                    at = pa.array(good[j])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(low + i)), *(batch.column(c).take(at) for c in (item, *kept)), pa.array(score[i, j])], names=["query_id", item, *kept, "score"])
+
+        found = spread(rows.select(item, *kept, "vector")).select(item, *kept, F.col("vector").cast("array<double>").alias("vector")).mapInArrow(near, schema)
+        scored = found if scored is None else scored.unionByName(found)
+    if scored is None:
+        scored = queries.sparkSession.createDataFrame([], schema)
+    if not late:
         return top(scored.select("query_id", item, "score"), "query_id", "score", item, k)
-    wide = top(scored.select("query_id", item, "score", *kept), "query_id", "score", item, max(4 * k, 40)).where(where)
-    return top(wide.drop("rank"), "query_id", "score", item, k).select("query_id", item, "score", "rank")
+    best = top(scored.select("query_id", item, "score", *kept), "query_id", "score", item, wide).where(where)
+    return top(best.drop("rank"), "query_id", "score", item, k).select("query_id", item, "score", "rank")
+
+
+def _exploded(docs: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, length, term): the words of each document and the empty term."""
+    listed = spread(docs.select(item, text)).select(item, words(F.col(text)).alias("_w"))
+    # An outer explode, as the optimiser would ask for the length of an inner one's array, and so for the words, once more.
+    each = F.explode_outer(F.when(F.size("_w") > 0, F.concat(F.array(F.lit("")), "_w")))
+    return listed.select(item, F.size("_w").alias("length"), each.alias("term"))
 
 
 def inverted_index(docs: DataFrame, item: str = "id", text: str = "text") -> DataFrame:
-    """(term, item, tf, length): one row per word of a document; documents without words have none."""
-    listed = docs.select(item, words(F.col(text)).alias("_w"))
-    exploded = listed.select(item, F.size("_w").alias("length"), F.explode("_w").alias("term"))
-    return exploded.groupBy("term", item).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    """(term, item, tf, length): one row per word of a document, and one of the empty term; documents without words have none.
+
+    Written once, partitioned or bucketed by term, it serves any number of
+    batches of questions through scored_hits.
+    """
+    return _exploded(docs, item, text).where("term IS NOT NULL").groupBy("term", item).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, item: str = "id", text: str = "text", config: Config = DEFAULT) -> DataFrame:
@@ -68,17 +129,27 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, item: str = "id", tex
     mean length count documents with words. Only terms of the questions are
     exploded: their list is broadcast where its counted size allows.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
+    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term")).checkpoint()
+    # The empty term stands for the document itself, so one pass tells lengths and hits.
+    whole = asked.sparkSession.createDataFrame([("",)], "term string")
+    terms = few(asked.select("term").unionByName(whole).distinct())
+    hits = _exploded(docs, item, text).join(terms, "term", "left_semi").groupBy("term", item).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")).checkpoint()
+    return scored_hits(hits, asked, k, item, config)
+
+
+def scored_hits(hits: DataFrame, asked: DataFrame, k: int, item: str = "id", config: Config = DEFAULT) -> DataFrame:
+    """(query_id, item, score, rank) from rows of an inverted index (term, item, tf, length), the empty term standing for each document, and asked terms (query_id, term)."""
     k1, b = config.bm25_k1, config.bm25_b
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    listed = docs.select(item, words(F.col(text)).alias("_w")).select(item, "_w", F.size("_w").alias("length")).where("length > 0")
-    stats = listed.agg(F.count(F.lit(1)).alias("_n"), F.avg("length").alias("_mean"))
-    terms = few(asked.select("term").distinct())
-    hits = listed.select(item, "length", F.explode("_w").alias("term")).join(terms, "term", "left_semi").groupBy("term", item).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(frequency, "term").join(F.broadcast(stats), F.lit(True), "inner").join(few(asked), "term")
-    idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("_mean")))
-    scored = rows.groupBy("query_id", item).agg(F.round(F.sum(weight), 6).alias("score"))
+    # One row: a constant, read ahead of the rest.
+    stats = hits.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    n, mean = F.lit(float(stats["n"])), F.lit(float(stats["mean"] or 1.0))
+    rows = hits.where("term <> ''").join(few(asked.select("term").distinct()), "term", "left_semi")
+    frequency = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(frequency, "term").select("query_id", "term", idf.alias("_i"))
+    weight = F.col("_i") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+    scored = rows.join(few(weighed), "term").groupBy("query_id", item).agg(F.round(F.sum(weight), 6).alias("score"))
     return top(scored, "query_id", "score", item, k)
 
 

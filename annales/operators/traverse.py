@@ -128,6 +128,58 @@ def pagerank(seeds: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations
     return rank if tolerance is None else rank.withColumn("score", F.lit(1.0))
 
 
+#: Questions whose scores travel side by side over one edge table.
+SIDE_BY_SIDE = 64
+
+
+def pagerank_over(seeds: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, every: int = 10) -> DataFrame:
+    """(query_id, node, score): pagerank where all questions walk over one graph.
+
+    seeds: query_id, id; edges: src, dst. No edge is copied for a question: a
+    node holds the scores of SIDE_BY_SIDE questions in as many columns, and
+    further questions take further runs. Rules are those of pagerank; a block
+    of questions ends together.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    both = F.array_distinct(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to"))))
+    links = pairs.select(F.explode(both).alias("_l")).select("_l.node", "_l.to").checkpoint()
+    degree = links.groupBy("node").agg(F.count(F.lit(1)).alias("deg")).checkpoint()
+    steps = links.join(degree, "node").checkpoint()
+    count = degree.count()
+    start = seeds.select("query_id", F.col("id").alias("node")).distinct().join(degree.select("node"), "node", "left_semi")
+    start = start.join(start.groupBy("query_id").agg((1.0 / F.count(F.lit(1))).alias("jump")), "query_id").checkpoint()
+    asked = [r[0] for r in start.select("query_id").distinct().orderBy("query_id").collect()]
+    out = None
+    for low in range(0, len(asked), SIDE_BY_SIDE):
+        part = asked[low : low + SIDE_BY_SIDE]
+        names = [f"s{i}" for i in range(len(part))]
+        jumps = start.where(F.col("query_id").isin(part)).groupBy("node").agg(*[F.max(F.when(F.col("query_id") == q, F.col("jump"))).alias(f"j{i}") for i, q in enumerate(part)])
+        nodes = degree.select("node").join(jumps, "node", "left").na.fill(0.0).checkpoint()
+
+        def walk(rank: DataFrame, names=names, nodes=nodes) -> DataFrame:
+            flow = rank.join(steps, "node").groupBy(F.col("to").alias("node")).agg(*[F.sum(F.col(s) / F.col("deg")).alias(f"_{s}") for s in names])
+            return nodes.join(flow, "node", "left").select("node", *[(alpha * F.coalesce(f"_{s}", F.lit(0.0)) + (1 - alpha) * F.col(f"j{i}")).alias(s) for i, s in enumerate(names)])
+
+        rank, settled = nodes.select("node", *[F.lit(1.0 / count).alias(s) for s in names]), tolerance is None
+        for step in range(1, iterations + 1):
+            looked = step % every == 0 or step == iterations
+            if looked and tolerance is not None:
+                rank = rank.checkpoint()
+            new = walk(rank).checkpoint() if looked else walk(rank)
+            if looked and tolerance is not None:
+                olds = rank.select("node", *[F.col(s).alias(f"o{s}") for s in names])
+                moved = new.join(olds, "node").agg(*[F.sum(F.abs(F.col(s) - F.col(f"o{s}"))) for s in names]).first()
+                if all(m < count * tolerance for m in moved):
+                    rank, settled = new, True
+                    break
+            rank = new
+        each = F.array(*[F.struct(F.lit(q).alias("query_id"), (F.col(s) if settled else F.lit(1.0)).alias("score")) for q, s in zip(part, names)])
+        rows = rank.select("node", F.explode(each).alias("_s")).select("_s.query_id", "node", "_s.score")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else seeds.limit(0).select("query_id", F.col("id").alias("node"), F.lit(0.0).alias("score"))
+
+
 def trim(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (query_id, id) to keep and edges (query_id, src, dst) both of whose ends are kept."""
     kept = nodes.join(keep.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi")

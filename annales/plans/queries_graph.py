@@ -242,10 +242,8 @@ for _i in range(1, _STEPS + 1):
 
 @query(with_views(f"SELECT query_id, node, round(score, 6) AS score FROM r{_STEPS}", "degs", extra=SEEDS + _RANK))
 def ppr_iterations(spark, d):
-    seeds = _seeds(spark, d)
-    edges = views.edges(spark, d).select("src", "dst").distinct()
-    each = edges.join(F.broadcast(seeds.select("query_id").distinct()), F.lit(True), "inner")
-    return traverse.pagerank(seeds, each, iterations=_STEPS, tolerance=None).select("query_id", "node", F.round("score", 6).alias("score"))
+    ranked = traverse.pagerank_over(_seeds(spark, d), views.edges(spark, d).select("src", "dst"), iterations=_STEPS, tolerance=None)
+    return ranked.select("query_id", "node", F.round("score", 6).alias("score"))
 
 
 @query(with_views("SELECT period_id AS query_id, id, degree, CAST(r AS INTEGER) AS rank FROM (SELECT i.period_id, i.id, g.degree, row_number() OVER (PARTITION BY i.period_id ORDER BY g.degree DESC, i.id) AS r FROM inper i JOIN degs g USING (id)) WHERE r <= 10", "inper", "degs"))

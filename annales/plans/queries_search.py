@@ -160,7 +160,10 @@ def link_prefer_period(spark, d):
     return search.prefer_periods(ranked, in_period_fallback(spark, d), wanted)
 
 
-@query()
+_EACH = "asked AS (SELECT item_id || '#' || (i - 1) AS query_id, answer_keywords[i] AS query FROM (SELECT item_id, answer_keywords, unnest(generate_series(1, len(answer_keywords))) AS i FROM eval_items) WHERE answer_keywords[i] IS NOT NULL), nm AS (SELECT id, name AS text FROM ents)"
+
+
+@query(with_views("SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, id) AS INTEGER) AS rank FROM (SELECT split_part(query_id, '#', 1) AS query_id, id, min((CAST(split_part(query_id, '#', 2) AS INTEGER), rank)) AS f FROM bm WHERE rank <= 2 GROUP BY 1, 2)", "ents", extra=f"{_EACH}, {bm25_sql('asked', 'nm', 10)}"))
 def link_all(spark, d):
     rows = table(spark, d, "eval_items").select(F.col("item_id").cast("string").alias("query_id"), F.posexplode("answer_keywords").alias("position", "mention"))
     return search.link_mentions(rows, views.entities(spark, d).select("id", F.col("name").alias("text")))

@@ -14,7 +14,7 @@ from annales.plans import views
 from annales.plans.queries_graph import _type_sql
 from annales.plans.queries_search import TOKENS
 from annales.plans.views import KEY, with_views
-from annales.sources.tables import table
+from annales.sources.tables import spread, table
 from annales.streaming.resume import sessions, windowed_counts
 
 QUERIES: dict = {}
@@ -115,7 +115,7 @@ def wikidata_bounds(spark, d):
 
 @query()
 def year_extract(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", times.spans(F.col("text")).alias("s"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", times.spans(F.col("text")).alias("s"))
     return rows.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.start", "s.end", "s.precision", "s.legendary")
 
 
@@ -136,7 +136,7 @@ def _sentences_sql() -> str:
 
 @query(_sentences_sql())
 def sentences(spark, d):
-    return sentence_rows(table(spark, d, "documents"), "doc_id")
+    return sentence_rows(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id")
 
 
 def _old_tone_sql(column: str) -> str:

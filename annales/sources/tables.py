@@ -23,3 +23,14 @@ def latest(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
     rank = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)]) if order else F.lit(0)
     best = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*columns), rank).alias("_row"))
     return best.select(*[F.col("_row")[c].alias(c) for c in df.columns])
+
+
+#: Bytes a core below which a table is spread over all cores before costly work on each row.
+SMALL = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The table dealt out to all cores where its files, by their size, would keep only a few busy; larger ones stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL else df
