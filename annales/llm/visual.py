@@ -3,7 +3,8 @@
 Method: text is exploded to positioned code points; broadcast joins replace
 each by its decomposition or look-alike; combining marks are ordered by class
 within their starter's run; runs are recomposed through a join with the
-composition table; strings are rebuilt in order. Only values that hold a code
+composition table (those it doesn't hold as a whole by the rule it is made
+from); strings are rebuilt in order. Only values that hold a code
 point outside the ordinary set are exploded, which a JVM-side pattern decides.
 """
 
@@ -76,6 +77,13 @@ def _tables() -> tuple[list[tuple[str, str]], list[tuple[str, int]], list[tuple[
     return replace, classes, composed
 
 
+@lru_cache(1)
+def _second_starters() -> str:
+    """A class of the starters that compose with a starter before them: parts of syllables and of two-part vowels."""
+    found = {c for code in range(sys.maxunicode + 1) if not 0xAC00 <= code <= 0xD7A3 for c in unicodedata.normalize("NFD", chr(code))[1:] if not unicodedata.combining(c)}
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(found)) + r"\x{1161}-\x{1175}\x{11A8}-\x{11C2}]"
+
+
 def _broadcast(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")]), schema))
 
@@ -117,15 +125,20 @@ def canonical(df: DataFrame, key: str, value: str) -> DataFrame:
     runs = points.withColumn("_run", F.sum(F.when(F.col("_class") == 0, 1).otherwise(0)).over(row)).withColumn("_at", F.row_number().over(row))
     ordered = runs.groupBy("_v1", "_v2", "_run").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_class", "_at", "_c"))), lambda x: x["_c"])).alias("_d"))
     joined = ordered.join(_broadcast(spark, composed, "_d string, _to string"), "_d", "left").withColumn("_c", F.coalesce("_to", "_d"))
-    built = joined.groupBy("_v1", "_v2").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_run", "_c"))), lambda x: x["_c"])).alias("_built"))
+    # Runs of several code points that no composed form stands for as a whole: their starter composes with some marks only.
+    left = (F.length("_d") > 1) & F.col("_to").isNull()
+    built = joined.groupBy("_v1", "_v2").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_run", "_c"))), lambda x: x["_c"])).alias("_built"), F.max(left).alias("_left"))
+    built = built.withColumn("_left", F.col("_left") | F.col("_built").rlike(_second_starters()))
 
     @F.pandas_udf("string")
     def composed_form(texts: pd.Series) -> pd.Series:
-        """Exact composition of the few runs that the table doesn't hold as a whole."""
-        return texts.map(lambda t: unicodedata.normalize("NFC", t))
+        """Composition of the few values with runs that the table doesn't hold; null for the others."""
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    built = built.withColumn("_built", F.coalesce(composed_form(F.when(F.col("_left"), F.col("_built"))), F.col("_built")))
 
     # A value of which nothing is left has no code point to rebuild it from.
-    built = built.select("_v1", "_v2", composed_form("_built").alias("_canonical")).join(strange, ["_v1", "_v2"]).select("_key", "_value", "_canonical")
+    built = built.select("_v1", "_v2", F.col("_built").alias("_canonical")).join(strange, ["_v1", "_v2"]).select("_key", "_value", "_canonical")
     gone = strange.where(F.regexp_replace("_value", r"[\p{Cf}\p{Cc}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{34F}&&[^\n\t\r]]", "") == "").select("_key", "_value", F.lit("").alias("_canonical"))
     whole = plain.unionByName(built).unionByName(gone)
     return whole.select(F.col("_key").alias(key), F.col("_value").alias(value), F.col("_canonical").alias("canonical"), (~F.col("_value").eqNullSafe(F.col("_canonical"))).alias("changed"))
