@@ -50,14 +50,15 @@ def exact_matches(mentions: DataFrame, typed: DataFrame, untyped: DataFrame) ->
 def fuzzy_pairs(entities: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(id_a, id_b, score): names of one type whose mean ratio reaches the threshold; events also need near years.
 
-    A mean of at least 92 needs a common word of two or more letters, so words
-    are the blocking keys; in a type each pair meets at its rarest common word.
+    A mean of at least 92 needs a common word, so words are the blocking keys; a
+    pair that shares several is scored once. The join grows with the square of
+    a word's names in a type.
     """
     rows = entities.where("name IS NOT NULL AND type IS NOT NULL").select("id", "type", "start_year", F.lower("name").alias("_n"))
     listed = rows.select("*", F.explode(F.array_distinct(F.split("_n", r"\s+"))).alias("_w"))
     rarity = listed.groupBy("type", "_w").agg(F.count(F.lit(1)).alias("_c"))
     keyed = listed.join(rarity, ["type", "_w"]).where("_c > 1")
-    left = keyed.select("type", "_w", F.col("_c").alias("c"), F.col("id").alias("id_a"), F.col("_n").alias("_x"), F.col("start_year").alias("_sa"))
+    left = keyed.select("type", "_w", F.col("id").alias("id_a"), F.col("_n").alias("_x"), F.col("start_year").alias("_sa"))
     right = keyed.select("type", "_w", F.col("id").alias("id_b"), F.col("_n").alias("_y"), F.col("start_year").alias("_sb"))
     near = (F.col("type") != "Event") | F.coalesce(F.abs(F.col("_sa") - F.col("_sb")) <= config.event_year_tolerance, F.lit(False))
     # Lengths bound the ratio: 200 * shorter / (shorter + longer) of the sorted words.

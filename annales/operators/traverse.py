@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -128,6 +130,40 @@ def pagerank(seeds: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations
     return rank if tolerance is None else rank.withColumn("score", F.lit(1.0))
 
 
+def pagerank_near(seeds: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(query_id, node, score): pagerank of questions whose edges are bounded in number, as those of `expand` with a limit are.
+
+    Such a neighbourhood fits one task many times over, so each question walks
+    in memory, all its steps at once, and its change is looked at after every
+    step. Rules are those of pagerank; for edges without a bound use that.
+    """
+    kind = dict(seeds.dtypes)["query_id"]
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        pairs = rows[rows["b"].notna()]
+        names, at = np.unique(np.concatenate([pairs["a"], pairs["b"]]).astype(str), return_inverse=True)
+        n, a, b = len(names), at[: len(pairs)], at[len(pairs) :]
+        loop = a == b
+        src, dst = np.concatenate([a, b[~loop]]), np.concatenate([b, a[~loop]])
+        jump = np.isin(names, rows.loc[rows["b"].isna(), "a"].to_numpy().astype(str)).astype(float)
+        jump /= jump.sum()
+        score, degree = np.full(n, 1.0 / n), np.bincount(src, minlength=n)
+        for _ in range(iterations):
+            new = alpha * np.bincount(dst, (score / degree)[src], n) + (1 - alpha) * jump
+            moved, score = np.abs(new - score).sum(), new
+            if moved < n * tolerance:
+                break
+        else:
+            score = np.ones(n)
+        return pd.DataFrame({"query_id": pd.Series([rows["query_id"].iloc[0]] * n, dtype=rows["query_id"].dtype), "node": pd.Series(list(names), dtype=object), "score": score})
+
+    pairs = edges.select("query_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    ends_ = pairs.select("query_id", F.explode(F.array("a", "b")).alias("a")).distinct()
+    touched = seeds.select("query_id", F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).distinct().join(ends_, ["query_id", "a"], "left_semi")
+    walked = pairs.join(touched.select("query_id").distinct(), "query_id", "left_semi")
+    return walked.unionByName(touched).groupBy("query_id").applyInPandas(walk, f"query_id {kind}, node string, score double")
+
+
 #: Questions whose scores travel side by side over one edge table.
 SIDE_BY_SIDE = 64
 

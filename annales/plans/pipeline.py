@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,9 +13,10 @@ from annales import plugins
 from annales.config import DEFAULT, Config
 from annales.functions.times import spans
 from annales.functions.years import overlaps
-from annales.operators import context, graph, search, traverse
+from annales.operators import chunking, context, graph, search, traverse
 from annales.operators.extract import ONTOLOGY
-from annales.operators.periods import by_alias
+from annales.operators.periods import by_alias, in_period
+from annales.plans import views
 from annales.session import ensure_checkpoint_dir
 
 STAGES = ("ingest", "parse", "chunk", "extract", "resolve", "load", "embed")
@@ -31,6 +32,19 @@ class Store:
     periods: DataFrame
     in_period: DataFrame
     chunk_vectors: DataFrame | None = None
+    entity_vectors: DataFrame | None = None
+    degree: DataFrame | None = None
+    eras: DataFrame | None = None
+
+
+def open_store(spark: SparkSession, folder: str, embed: bool = True) -> Store:
+    """The graph held in a folder of tables; its views are written once, as a build would. With vectors of one embedder for chunks and names."""
+    ensure_checkpoint_dir(spark)
+    nodes, edges, chunks = views.entities(spark, folder).checkpoint(), views.edges(spark, folder).checkpoint(), views.chunks(spark, folder)
+    vectors = plugins.embed_rows(chunks.select("id", "text")).select("id", "vector") if embed else None
+    named = plugins.embed_rows(nodes.select("id", F.concat_ws("\n", "name", "description").alias("text"))).select("id", "vector") if embed else None
+    dim = views.periods(spark, folder)
+    return Store(chunks, nodes, edges, dim, in_period(nodes, dim), vectors, named)
 
 
 @dataclass
@@ -90,22 +104,26 @@ def retrieve(questions: DataFrame, store: Store, config: Config = DEFAULT, mode:
     """Everything an answer rests on, for questions (query_id, query[, mentions array]).
 
     Time and periods come from rules; intents from the registered analyzer or
-    the rules; mentions link to seeds, of which overviews without any take the
-    best connected of their periods. Chunk search, the graph around the seeds
-    and its PageRank are fused by intent; evidence is boosted. Questions out of
-    scope have no rows beyond their plan.
+    the rules; mentions link to seeds by name and, where the store has vectors
+    of entities, by likeness; questions without any take the best connected of
+    their periods. Three lists are fused by intent: chunk search (full text and
+    vectors), evidence around the seeds by PageRank, and evidence along the
+    shortest paths between a question's first two seeds. Questions out of scope
+    have no rows beyond their plan.
+
+    The store's tables are read several times and not copied; those that are
+    views should be written first. Only what lies around the seeds is.
     """
     ensure_checkpoint_dir(questions.sparkSession)
-    # Edges, seeds and trails are read by several branches; each is worked out once.
-    store = replace(store, edges=store.edges.checkpoint(), entities=store.entities.checkpoint())
-    plans = (plugins.registered("analyzer") or plugins.rule_analyzer)(questions).join(plan_rules(questions, store.periods, config), "query_id").checkpoint()
+    plans = (plugins.registered("analyzer") or plugins.rule_analyzer)(questions).join(plan_rules(questions, store.periods, config, store.eras), "query_id").checkpoint()
     open_ = plans.where("NOT out_of_scope")
     said = open_.select("query_id", F.posexplode("mentions").alias("position", "mention")) if "mentions" in questions.columns else open_.select("query_id", F.lit(0).alias("position"), F.col("query").alias("mention"))
-    seeds = search.link_mentions(said, store.entities.select("id", F.col("name").alias("text")), config=config)
+    embed = lambda rows: plugins.embed_rows(rows)
+    seeds = search.link_mentions(said, store.entities.select("id", F.col("name").alias("text")), store.entity_vectors, embed if store.entity_vectors is not None else None, config=config)
     wanted = open_.select("query_id", F.explode("periods").alias("period_id"))
-    degree = graph.degrees(store.edges).checkpoint()
+    degree = store.degree if store.degree is not None else graph.degrees(store.edges).checkpoint()
     missing = wanted.join(seeds.select("query_id").distinct(), "query_id", "left_anti")
-    seeds = seeds.select("query_id", "id").unionByName(traverse.period_seeds(degree, store.in_period, missing).select("query_id", "id")).checkpoint()
+    seeds = seeds.select("query_id", "id", "rank").unionByName(traverse.period_seeds(degree, store.in_period, missing).select("query_id", "id", "rank")).checkpoint()
     ranked = search.bm25_topk(open_.select("query_id", "query"), store.chunks.select("id", "text"), config.chunk_k, config=config)
     lists = [(ranked, 1.0)]
     if store.chunk_vectors is not None:
@@ -114,21 +132,34 @@ def retrieve(questions: DataFrame, store: Store, config: Config = DEFAULT, mode:
     found = search.rrf(lists, k=config.rrf_k).checkpoint()
     if mode == "vector":
         triplets = store.edges.limit(0).select(F.lit("").alias("query_id"), *store.edges.columns, F.lit(0.0).alias("score"))
-        fused = found
+        fused, paths = found, None
     else:
         bound = graph.degree_bound(degree, config.max_degree)
         passable = traverse.passable(store.edges, list(ONTOLOGY))
-        trails = traverse.expand(seeds, passable, degree, config.hops, bound, config.max_paths)
-        near = trails.select("query_id", F.explode("edges").alias("edge_id")).distinct().join(store.edges, "edge_id").checkpoint()
-        rank = traverse.pagerank(seeds, near.select("query_id", "src", "dst"), config.ppr_alpha, config.ppr_iterations, config.ppr_tolerance)
+        trails = traverse.expand(seeds.select("query_id", "id"), passable, degree, config.hops, bound, config.max_paths)
+        first = seeds.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("id"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+        routes = traverse.shortest_paths(first, passable, degree, config.path_hops, config.path_degree, config.path_limit)
+        routes = routes.withColumn("route", F.row_number().over(Window.partitionBy("query_id").orderBy(F.concat_ws("|", "edges")))).checkpoint()
+        met = trails.select("query_id", F.explode("edges").alias("edge_id")).unionByName(routes.select("query_id", F.explode("edges").alias("edge_id"))).distinct()
+        near = met.join(store.edges, "edge_id").checkpoint()
+        # A limit on trails bounds each question's neighbourhood.
+        walk = traverse.pagerank if config.max_paths is None else traverse.pagerank_near
+        rank = walk(seeds, near.select("query_id", "src", "dst"), config.ppr_alpha, config.ppr_iterations, config.ppr_tolerance)
         best = search.top(rank.withColumn("score", F.round("score", 9)), "query_id", "score", "node", config.ppr_top_n).select("query_id", F.col("node").alias("id"), "score")
         kept = best.select("query_id", "id").unionByName(seeds.select("query_id", "id")).distinct()
         score = best.select("query_id", F.col("id").alias("src"), F.col("score").alias("_s"))
         triplets = traverse.trim(kept, near, kept)[1].join(score, ["query_id", "src"], "left").withColumn("score", F.coalesce("_s", F.lit(0.0))).drop("_s")
         evidence = triplets.select("query_id", F.explode("evidence").alias("id"), "score").groupBy("query_id", "id").agg(F.max("score").alias("score"))
         by_graph = search.top(evidence, "query_id", "score", "id", config.chunk_k)
-        fused = search.rrf_by_intent(open_, [found, by_graph.select("query_id", "id", "rank")], config=config, mode=mode)
-        fused = search.boost_evidence(fused, evidence, factor=config.evidence_boost)
+        along = routes.select("query_id", "route", F.posexplode("edges").alias("place", "edge_id")).join(near.select("query_id", "edge_id", "evidence"), ["query_id", "edge_id"])
+        on_paths = along.select("query_id", "route", "place", F.explode("evidence").alias("id")).groupBy("query_id", "id").agg(F.min(F.struct("route", "place")).alias("_f"))
+        by_path = on_paths.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("_f", "id")).alias("rank"))
+        fused = search.rrf_by_intent(open_, [found, by_graph.select("query_id", "id", "rank"), by_path], config=config, mode=mode)
+        told_by = evidence.select("query_id", "id").unionByName(by_path.select("query_id", "id"))
+        fused = search.boost_evidence(fused, told_by, factor=config.evidence_boost)
+        known = store.entities.select(F.col("id").alias("_n"), F.col("name").alias("_name"))
+        steps = routes.select("query_id", "route", F.posexplode("nodes").alias("place", "_n")).join(known, "_n", "left").withColumn("_l", F.coalesce("_name", "_n"))
+        paths = steps.groupBy("query_id", F.col("route").alias("rank")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "_l"))), lambda x: x["_l"]), " — ").alias("line"))
     fused = search.rerank(fused, plugins.registered("reranker"), first=config.rerank_top)
     size = F.when(F.col("intent") == "overview", config.overview_top_chunks).otherwise(config.top_chunks)
     chosen = fused.join(open_.select("query_id", "intent"), "query_id").where(F.col("rank") <= size).drop("intent")
@@ -138,7 +169,7 @@ def retrieve(questions: DataFrame, store: Store, config: Config = DEFAULT, mode:
     told = told.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "edge_id")))
     ends = told.select("query_id", F.col("src").alias("id"), "rank").unionByName(told.select("query_id", F.col("dst").alias("id"), "rank")).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
     nodes = ends.join(store.entities.select("id", "name", "type", "start_year", "end_year"), "id")
-    text = context.build_context(open_.select("query_id", "periods"), store.periods, nodes, told, cited, config=config)
+    text = context.build_context(open_.select("query_id", "periods"), store.periods, nodes, told, cited, paths, config=config)
     return Answered(plans, chosen, told, cited, text)
 
 
@@ -149,6 +180,24 @@ def answer(questions: DataFrame, store: Store, config: Config = DEFAULT, mode: s
     return (plugins.registered("generator") or plugins.extractive_generator)(rows).select("query_id", "answer", "context")
 
 
+def ask_documents(questions: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", config: Config = DEFAULT) -> DataFrame:
+    """(query_id, answer, context): questions (query_id, query) over texts of one's own, by the passages most like each.
+
+    Passages are character windows; a question is compared with all of them by
+    the registered embedder. `[Dn]` numbers a passage within its document.
+    """
+    cut = chunking.passages(docs, key, text, config)
+    cut = cut.select(F.concat_ws("#", F.col(key).cast("string"), F.col("n").cast("string")).alias("id"), "n", "passage")
+    vectors = plugins.embed_rows(cut.select("id", F.col("passage").alias("text"))).select("id", "vector")
+    asked = plugins.embed_rows(questions.select("query_id", F.col("query").alias("text"))).select("query_id", "vector")
+    hits = search.vector_topk(asked, vectors, config.passage_k).join(cut, "id").select("query_id", "rank", "n", "passage")
+    rows = questions.select("query_id", "query").join(context.passage_context(hits), "query_id", "left")
+    first = F.regexp_extract("context", r"(?s)^(\[D\d+\]) (.*?)(?:\n\n\[D\d+\] |$)", 2)
+    quoted = rows.withColumn("answer", F.when(F.coalesce(first, F.lit("")) != "", first).otherwise(F.lit(plugins.NOTHING)))
+    made = plugins.registered("generator")
+    return (made(rows) if made else quoted).select("query_id", "answer", "context")
+
+
 def build(steps: dict[str, Callable[[], object]], skip_to: str | None = None, dry_run: bool = False, order: Sequence[str] = STAGES) -> list[str]:
     """Runs stages in order from `skip_to` on and stops at the first that fails; a dry run only lists them."""
     if skip_to is not None and skip_to not in order:

@@ -249,8 +249,23 @@ def doc_passages(spark, d):
 
 @query()
 def answers(spark, d):
-    """Every evaluation question answered: rules, linking, search, graph, fusion, context, extractive answer."""
-    questions = table(spark, d, "eval_items").select(F.col("item_id").cast("string").alias("query_id"), F.col("question").alias("query"), F.coalesce("answer_keywords", F.array().cast("array<string>")).alias("mentions"))
-    nodes = views.entities(spark, d)
-    store = pipeline.Store(views.chunks(spark, d), nodes, views.edges(spark, d), views.periods(spark, d), in_period_fallback(spark, d))
-    return pipeline.answer(questions, store)
+    """Every evaluation question answered from its text alone: rules, linking, search by words and vectors, graph, paths, fusion, context, extractive answer."""
+    return pipeline.answer(_questions(spark, d), pipeline.open_store(spark, d))
+
+
+def _questions(spark, d):
+    return table(spark, d, "eval_items").select(F.col("item_id").cast("string").alias("query_id"), F.col("question").alias("query"))
+
+
+@query()
+def retrieved(spark, d):
+    """What each answer rests on: chunks in order, and how many lines its context has."""
+    found = pipeline.retrieve(_questions(spark, d), pipeline.open_store(spark, d))
+    lines = found.context.select("query_id", F.size(F.split("context", "\n")).alias("lines"))
+    return found.chunks.select("query_id", "id", "rank", "score").join(lines, "query_id")
+
+
+@query()
+def document_answers(spark, d):
+    """Every evaluation question put to all documents as to texts of one's own."""
+    return pipeline.ask_documents(_questions(spark, d), table(spark, d, "documents").select("doc_id", "text")).select("query_id", "answer", F.length("context").alias("chars"))

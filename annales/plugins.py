@@ -90,7 +90,11 @@ def rule_analyzer(rows: DataFrame) -> DataFrame:
     return rows.withColumn("intent", F.coalesce(intent, F.lit("factoid")))
 
 
+#: The answer where there is nothing to quote.
+NOTHING = "Dữ liệu chưa có thông tin về câu hỏi này."
+
+
 def extractive_generator(rows: DataFrame) -> DataFrame:
     """`answer`: the first source of the context, or that there is none."""
     first = F.regexp_extract("context", r'\[1\] \([^\n]*?\) "([^\n]*)"', 1)
-    return rows.withColumn("answer", F.when(F.coalesce(first, F.lit("")) != "", F.concat(first, F.lit(" [1]"))).otherwise(F.lit("Dữ liệu chưa có thông tin về câu hỏi này.")))
+    return rows.withColumn("answer", F.when(F.coalesce(first, F.lit("")) != "", F.concat(first, F.lit(" [1]"))).otherwise(F.lit(NOTHING)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,11 +33,13 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where the cluster names none."""
+    """The shared folder named in spark.checkpoint.dir. Without one a single-machine session gets a folder of its own; a cluster must name one."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError(f"{CHECKPOINT_KEY} names no folder: on a cluster it must be one that all executors share")
     where = named or "file://" + tempfile.mkdtemp(prefix="annales-checkpoint-")
     spark.sparkContext.setCheckpointDir(where)
     return spark.sparkContext.getCheckpointDir() or where

@@ -48,18 +48,24 @@ def merged(old: DataFrame | None, new: DataFrame, key: str) -> DataFrame:
 def merge_partitions(spark: SparkSession, new: DataFrame, path: str, key: str, partition: str, fresh: bool = False) -> None:
     """Keyed merge into a partitioned table: moved rows change their folder, emptied folders vanish.
 
-    The merged table is written beside the old one and takes its place, so a
-    failed write leaves the old one whole. `fresh` starts anew.
+    The merged table is written beside the old one, which is set aside before
+    the new one takes its place and deleted last: whenever a run is cut off, one
+    whole table stands at the path, beside it as `.next` or set aside as `.old`,
+    and the next run puts it back. `fresh` starts anew.
     """
-    old = spark.read.parquet(path) if not fresh and exists(spark, path) else None
-    rows = merged(old.select(*new.columns) if old is not None else None, new, key)
-    target, beside = path.rstrip("/"), path.rstrip("/") + ".next"
-    rows.write.mode("overwrite").partitionBy(partition).parquet(beside)
     jvm = spark.sparkContext._jvm
-    here, there = jvm.org.apache.hadoop.fs.Path(target), jvm.org.apache.hadoop.fs.Path(beside)
-    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(here, True)
-    fs.rename(there, here)
+    target, beside, aside = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".next", ".old"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target) and fs.exists(aside):
+        fs.rename(aside, target)
+    old = spark.read.parquet(path) if not fresh and fs.exists(target) else None
+    rows = merged(old.select(*new.columns) if old is not None else None, new, key)
+    rows.write.mode("overwrite").partitionBy(partition).parquet(beside.toString())
+    fs.delete(aside, True)
+    if fs.exists(target):
+        fs.rename(target, aside)
+    fs.rename(beside, target)
+    fs.delete(aside, True)
 
 
 def dimension(spark: SparkSession, path: str, schema: str | StructType, root: str | None = None) -> DataFrame:
@@ -77,8 +83,8 @@ def dimension(spark: SparkSession, path: str, schema: str | StructType, root: st
 
 
 def write_report(df: DataFrame, path: str, *order: Column | str) -> None:
-    """A tab-separated report in one file; reports are small by their nature."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    """A tab-separated report in order, in as many files as its size asks for; the names of the files follow the order."""
+    df.orderBy(*order).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def unique(df: DataFrame, key: str) -> DataFrame:
