@@ -62,6 +62,30 @@ def test_markup_table(spark):
     assert marked_blocks(df.limit(0)).count() == 0
 
 
+# 1 labels
+
+
+def _labelled_page(rng, wiki):
+    """A page of paragraphs between planted menus, link rows and notices, and which of its text blocks are prose."""
+    prose = ["Năm ấy các bô lão trong làng đã họp lại ở đình để bàn về việc sửa con đê, vì nước lũ dâng cao và không ai muốn mất mùa thêm một lần nữa.", "The garrison rebuilt the old ferry landing near the market, and the envoys that came in the spring said it was the best they had seen on the river.", "Khi thành bị phá thì người dân của bảy làng dời lên núi, còn những người ở lại thì lập một ngôi miếu nhỏ để thờ các vị đã mất trong trận ấy."]
+    noise = ["[[Trang chủ]] | [[Giới thiệu]] | [[Liên hệ]] | [[Bản đồ]]", "[[Đăng nhập]] [[Đăng ký]] [[Giỏ hàng]] [[Tìm kiếm]]", "Bản quyền 2020", "[https://a.example Chia sẻ] [https://b.example In trang] [https://c.example Gửi thư]"]
+    parts = [(noise[int(i)], False) for i in rng.integers(len(noise), size=2)] + [(prose[int(i)], True) for i in rng.integers(len(prose), size=int(rng.integers(2, 6)))] + [(noise[int(i)], False) for i in rng.integers(len(noise), size=3)]
+    return "\n\n".join(p if wiki else p.replace("[[", "[").replace("]]", "](x)") if "[[" in p else p for p, _ in parts), [good for _, good in parts]
+
+
+def test_planted_menus_are_told_from_prose():
+    rng = np.random.default_rng(2)
+    seen = {True: [], False: []}
+    for n in range(200):
+        text, good = _labelled_page(rng, n % 2 == 0)
+        labels = [label for kind, _, label in blocks(text) if kind == "text"]
+        assert len(labels) == len(good), text
+        for label, is_good in zip(labels, good):
+            seen[is_good].append(label == "good")
+    # Prose that is kept, and menus that are dropped, of 200 pages.
+    assert np.mean(seen[True]) >= 0.98 and 1 - np.mean(seen[False]) >= 0.98
+
+
 # 2 neighbours
 
 
@@ -227,6 +251,24 @@ def test_split_table(spark):
 # 5 survivors
 
 
+def test_consensus_of_planted_groups(spark):
+    # 300 groups: a description told rightly by three records, with single words lost, changed or added by four others, one of them the most trusted.
+    rng = np.random.default_rng(8)
+    vocabulary = [a + b for a in ("kh", "l", "m", "ng", "s", "t") for b in ("an", "ech", "im", "oang", "uy")]
+    rows, truth = [], {}
+    for g in range(300):
+        words = list(rng.choice(vocabulary, 12))
+        truth[str(g)] = " ".join(words)
+        for k in range(7):
+            told, at = list(words), int(rng.integers(12))
+            if k >= 3:
+                told[at : at + 1] = [[], ["sai"], [words[at], "thua"]][int(rng.integers(3))]
+            rows.append((str(g), "description", " ".join(told), 10 * g + k, 3 if k == 6 else 2, None))
+    values = spark.createDataFrame(rows, "id string, field_name string, value string, rec_id long, trust int, updated_at timestamp")
+    right = lambda weights: sum(r["value"] == truth[r["id"]] for r in survivors(values, weights).collect())
+    assert right("additive") == 300 and right("priority") < 30
+
+
 def test_consensus():
     assert consensus(["a b c", "a x c", "a b c d"], [1, 1, 1]) == ["a", "b", "c"]
     assert nearest(["a x c", "a b c", "a b d"], [1, 1, 1]) in (1, 0) and nearest(["a b", "c d"], [1.0, 0.5]) == 0
