@@ -312,7 +312,8 @@ def similar_vectors(
     Of rows with one id the one with the largest `order` counts. Ids without a
     comparable vector (see unit_vectors) neither search nor are found. Ties in
     cosine go to the smaller id. Approximate: measured recall is in the README;
-    the cosines themselves are exact. `queries`, a table of ids, restricts who
+    the cosines themselves are exact, but that
+    directions equal to four decimals count as one, at cosine 1. `queries`, a table of ids, restricts who
     searches, not who is found. An empty table gives an empty result.
     """
     spark = df.sparkSession
