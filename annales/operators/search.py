@@ -133,23 +133,29 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, item: str = "id", tex
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term")).checkpoint()
     # The empty term stands for the document itself, so one pass tells lengths and hits.
     whole = asked.sparkSession.createDataFrame([("",)], "term string")
-    terms = few(asked.select("term").unionByName(whole).distinct())
+    # Terms, and what is worked out for each asked one, have no more rows than what is asked, which is counted once.
+    hint = F.broadcast if asked.count() <= MOST_QUESTIONS else lambda df: df
+    terms = hint(asked.select("term").unionByName(whole).distinct())
     hits = _exploded(docs, item, text).join(terms, "term", "left_semi").groupBy("term", item).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")).checkpoint()
-    return scored_hits(hits, asked, k, item, config)
+    return _scored(hits, hits.where("term <> ''"), asked, hint, k, item, config)
 
 
 def scored_hits(hits: DataFrame, asked: DataFrame, k: int, item: str = "id", config: Config = DEFAULT) -> DataFrame:
     """(query_id, item, score, rank) from rows of an inverted index (term, item, tf, length), the empty term standing for each document, and asked terms (query_id, term)."""
+    hint = F.broadcast if asked.limit(MOST_QUESTIONS + 1).count() <= MOST_QUESTIONS else lambda df: df
+    return _scored(hits, hits.where("term <> ''").join(hint(asked.select("term").distinct()), "term", "left_semi"), asked, hint, k, item, config)
+
+
+def _scored(hits: DataFrame, rows: DataFrame, asked: DataFrame, hint: Callable[[DataFrame], DataFrame], k: int, item: str, config: Config) -> DataFrame:
     k1, b = config.bm25_k1, config.bm25_b
     # One row: a constant, read ahead of the rest.
     stats = hits.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
     n, mean = F.lit(float(stats["n"])), F.lit(float(stats["mean"] or 1.0))
-    rows = hits.where("term <> ''").join(few(asked.select("term").distinct()), "term", "left_semi")
     frequency = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(frequency, "term").select("query_id", "term", idf.alias("_i"))
     weight = F.col("_i") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = rows.join(few(weighed), "term").groupBy("query_id", item).agg(F.round(F.sum(weight), 6).alias("score"))
+    scored = rows.join(hint(weighed), "term").groupBy("query_id", item).agg(F.round(F.sum(weight), 6).alias("score"))
     return top(scored, "query_id", "score", item, k)
 
 
