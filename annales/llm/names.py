@@ -5,10 +5,12 @@ Method: every name is rewritten to canonical forms by rules for spelling
 wrong or missing tokens, initials, legal forms, titles and nicknames. Forms are
 exploded and equi-joined; a form that few ids have brings all of them together,
 a commoner one those that also share a fact (a place, a year of beginning or
-end). A pair is scored by how rare the rewriting that joined it is and by what
+end, a rare phrase). A pair is scored by how rare the rewriting that joined it is and by what
 its bearers' facts say. All weights are log-likelihood ratios that an
-expectation-maximisation over all pairs learns (Fellegi and Sunter); pairs that
-hold are closed to clusters.
+expectation-maximisation over all pairs learns (Fellegi and Sunter). They bound
+what a pair without a common fact can score; where that could be a link, all
+bearers of such forms are compared after all, so no link is left out. Pairs
+that hold are closed to clusters.
 """
 
 from __future__ import annotations
@@ -48,9 +50,9 @@ WHOLE, RUN_ON, COURTESIES, MISSING, INITIALED, NICKNAMED, REPLACED, ALIKE, LETTE
 EXPECTED = (0.8, 0.8, 0.8, 0.5, 0.3, 0.02, 0.1, 0.02, 0.02, 0.01)
 #: (kind, number of its two names that only have the form by leaving something out) -> way. What isn't listed is no rewriting.
 WAYS = {(BAG, 0): WHOLE, (JOINED, 0): RUN_ON, (STYLE, 0): COURTESIES, (BAG, 1): MISSING, (INITIALS, 0): INITIALED, (INITIALS, 1): INITIALED, (GIVEN, 0): NICKNAMED, (GIVEN, 1): NICKNAMED, (BAG, 2): REPLACED, (INITIALS, 2): ALIKE, (LETTERS, 0): LETTERED, (LETTERS, 1): LETTERED, (PAIR, 2): TWO}
-#: Forms of these kinds say so little that their bearers meet only together with a fact.
+#: Forms of these kinds say so little that their bearers first meet only together with a fact.
 WEAK = (LETTERS, GIVEN, PAIR)
-#: Ids of a form of another kind that meet without a common fact.
+#: Ids of a form of another kind that meet without a common fact before any weights are known.
 FEW = 15
 #: Tokens of names of which any two may be wrong.
 TWO_TOKENS = (4, 8)
@@ -307,8 +309,27 @@ def _met(keyed: DataFrame, block: int | None = None) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.min("stratum").alias("stratum"))
 
 
+def _expected(strata: np.ndarray) -> np.ndarray:
+    """Share of true pairs that a stratum has before any data."""
+    return np.minimum(np.array(EXPECTED)[strata // 64] * 2 / 2.0 ** (strata % 64), 0.95)
+
+
 def weights(cells: pd.DataFrame, totals: dict[int, float]) -> np.ndarray:
-    """Log-odds, of each cell, that its pairs have one bearer.
+    """Log-odds, of each cell, that its pairs have one bearer."""
+    return _learnt(cells, totals)[0]
+
+
+def _reaching(cells: pd.DataFrame, totals: dict[int, float]) -> tuple[np.ndarray, set[int]]:
+    """The log-odds of each cell, and the strata of `totals` in which a pair without a common fact may be a link."""
+    odds, priors, ratios = _learnt(cells, totals)
+    # Levels of pairs without a year, a place or one of the rarest phrases in common.
+    apart = {"years": [0, 1, 3, 4], "places": [UNTOLD, APART], "told": list(range(LEVELS - 1))}
+    most = sum(float(r[apart.get(name, slice(None))].max()) for name, r in ratios.items())
+    return odds, {s for s in totals if priors[s] + most >= LEAST_SCORE}
+
+
+def _learnt(cells: pd.DataFrame, totals: dict[int, float]) -> tuple[np.ndarray, dict[int, float], dict[str, np.ndarray]]:
+    """(log-odds of each cell, most log-odds of each stratum before any comparison, log-ratio of each level of each comparison).
 
     cells: stratum, the level of each comparison in START, n pairs. A stratum
     named in `totals` shows only pairs with a fact in common out of so many
@@ -319,7 +340,7 @@ def weights(cells: pd.DataFrame, totals: dict[int, float]) -> np.ndarray:
     """
     strata, at = np.unique(cells["stratum"].to_numpy(np.int64), return_inverse=True)
     n = cells["n"].to_numpy(float)
-    expected = np.minimum(np.array(EXPECTED)[strata // 64] * 2 / 2.0 ** (strata % 64), 0.95)
+    expected = _expected(strata)
     seen = np.bincount(at, n, len(strata))
     every = np.array([max(totals.get(int(s), 0.0), seen[i]) for i, s in enumerate(strata)])
     open_to_all = np.array([int(s) not in totals for s in strata])[at]
@@ -327,7 +348,7 @@ def weights(cells: pd.DataFrame, totals: dict[int, float]) -> np.ndarray:
     one, two = ([x / x.sum() for x in side] for side in zip(*START.values()))
     first_one, first_two = [x.copy() for x in one], [x.copy() for x in two]
     share = expected.copy()
-    odds = np.zeros(len(n))
+    odds = true = np.zeros(len(n))
     for _ in range(ROUNDS):
         odds = np.log(share / (1 - share))[at] + sum(np.where(x == UNTOLD, 0.0, np.log(m / u)[x]) for m, u, x in zip(one, two, levels))
         true = n / (1 + np.exp(-odds))
@@ -337,7 +358,11 @@ def weights(cells: pd.DataFrame, totals: dict[int, float]) -> np.ndarray:
             two[k] = np.bincount(x, (n - true) * open_to_all, len(two[k])) + WEIGHT_LEVELS * first_two[k]
             one[k], two[k] = one[k] / one[k].sum(), two[k] / two[k].sum()
             one[k][CONTRADICTIONS[name]] = np.minimum(one[k][CONTRADICTIONS[name]], MOST_WRONG)
-    return odds
+    # Pairs that weren't compared could be true as often as those that were; of strata without any, as often as is expected.
+    priors = {s: float(_expected(np.array([s]))[0]) for s in totals}
+    priors |= {int(s): float(min(max(p, (t + WEIGHT_WAYS * e) / (n + WEIGHT_WAYS)), MOST_TRUE)) for s, p, t, e, n in zip(strata, share, np.bincount(at, true, len(strata)), expected, seen)}
+    ratios = {name: np.where(np.arange(len(m)) == UNTOLD, 0.0, np.log(m / u)) for name, m, u in zip(START, one, two)}
+    return odds, {s: float(np.log(p / (1 - p))) for s, p in priors.items()}, ratios
 
 
 def name_links(records: DataFrame) -> DataFrame:
@@ -366,13 +391,14 @@ def name_links(records: DataFrame) -> DataFrame:
     kind = F.shiftright(F.col("form").bitwiseAND(15), 1).cast("int")
     forms = forms.join(rarity.select("form", "n"), "form").withColumn("kind", kind)
     alone = ~F.col("kind").isin(*WEAK) & (F.col("n") <= FEW)
-    keys = F.concat(F.coalesce("places", F.array().cast("array<long>")), _stretches(F.col("starts"), 0), _stretches(F.col("ends"), 2))
+    none = F.array().cast("array<long>")
+    # Of phrases, those of the greatest rarity are keys; what others add to a score is bounded.
+    rare = F.filter(F.coalesce("phrases", none), lambda x: x.bitwiseAND(3) == len(RARITIES))
+    keys = F.concat(F.coalesce("places", none), F.transform(rare, lambda x: F.xxhash64(F.lit(4), x)), _stretches(F.col("starts"), 0), _stretches(F.col("ends"), 2))
     known = held.select("id", F.explode(F.array_distinct(keys)).alias("fact"))
     keyed = forms.where(alone).select(F.col("form").alias("key"), "id", "kind", "partial", "n")
     keyed = keyed.unionByName(forms.where(~alone).join(known, "id").select(F.xxhash64("form", "fact").alias("key"), "id", "kind", "partial", "n"))
     one, two = (held.select(*[F.col(c).alias(f"{c}_{x}") for c in held.columns]) for x in ("a", "b"))
-    rows = _met(keyed).join(one.withColumnRenamed("id_a", "a"), "a").join(two.withColumnRenamed("id_b", "b"), "b")
-    rows = rows.where((F.size("types_a") > 0) | (F.size("types_b") > 0))
 
     def known_level(c: str, agree: Column) -> Column:
         return F.when((F.size(f"{c}_a") == 0) | (F.size(f"{c}_b") == 0), UNTOLD).when(agree, SHARED).otherwise(APART)
@@ -383,21 +409,39 @@ def name_links(records: DataFrame) -> DataFrame:
         return F.when(a.isNull() | b.isNull(), UNTOLD).otherwise(F.coalesce(common + SHARED, F.lit(APART))).alias(c)
 
     years = known_level("starts", _near(F.col("starts_a"), F.col("starts_b"))) * 3 + known_level("ends", _near(F.col("ends_a"), F.col("ends_b")))
-    compared = rows.select("a", "b", "stratum", years.alias("years"), rarest("places"), rarest("phrases").alias("told"), known_level("types", F.arrays_overlap("types_a", "types_b")).alias("types")).checkpoint()
+
+    def compare(keyed: DataFrame) -> DataFrame:
+        rows = _met(keyed).join(one.withColumnRenamed("id_a", "a"), "a").join(two.withColumnRenamed("id_b", "b"), "b")
+        rows = rows.where((F.size("types_a") > 0) | (F.size("types_b") > 0))
+        return rows.select("a", "b", "stratum", years.alias("years"), rarest("places"), rarest("phrases").alias("told"), known_level("types", F.arrays_overlap("types_a", "types_b")).alias("types"))
+
+    compared = compare(keyed).checkpoint()
     # Strata and levels are few whatever the input: ways x powers of two x levels.
     shape = ["stratum", *START]
-    cells = compared.groupBy(*shape).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    if not len(cells):
-        return compared.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.lit(0.0).alias("score")).limit(0)
     whole = F.col("n") - F.col("_left")
     sorts = {0: whole * (whole - 1) / 2, 1: whole * F.col("_left"), 2: F.col("_left") * (F.col("_left") - 1) / 2}
     sums = rarity.withColumn("kind", kind).groupBy("kind", F.floor(F.log2("n")).cast("int").alias("bucket"), F.col("n") <= FEW).agg(*[F.sum(c).alias(f"s{p}") for p, c in sorts.items()]).collect()
-    totals: dict[int, float] = {}
-    for k, bucket, few, *pairs in sums:
-        for p, way in ((p, WAYS.get((k, p))) for p in sorts):
-            if way is not None and (k in WEAK or not few):
-                totals[way * 64 + bucket] = totals.get(way * 64 + bucket, 0.0) + float(pairs[p] or 0)
-    cells["score"] = weights(cells, totals)
+    # Kinds and sizes of forms whose bearers were all compared, facts or not. Each round has more; forms of many ids, of whose pairs few are true, stay out.
+    every: set[tuple[int, int]] = set()
+    while True:
+        cells = compared.groupBy(*shape).agg(F.count(F.lit(1)).alias("n")).toPandas()
+        totals: dict[int, float] = {}
+        held_by: dict[int, tuple[int, int]] = {}
+        for k, bucket, few, *pairs in sums:
+            for p, way in ((p, WAYS.get((k, p))) for p in sorts):
+                if way is not None and (k in WEAK or not few) and (k, bucket) not in every:
+                    totals[way * 64 + bucket] = totals.get(way * 64 + bucket, 0.0) + float(pairs[p] or 0)
+                    held_by[way * 64 + bucket] = (k, bucket)
+        cells["score"], reaching = _reaching(cells, totals)
+        more = {held_by[s] for s in reaching if totals[s] > 0}
+        if not more:
+            break
+        every |= more
+        size = F.col("kind") * 64 + F.floor(F.log2("n")).cast("int")
+        rest = forms.where(~alone & size.isin(*[k * 64 + b for k, b in more])).select(F.col("form").alias("key"), "id", "kind", "partial", "n")
+        compared = compared.unionByName(compare(rest)).groupBy("a", "b").agg(F.min(F.struct(*shape)).alias("_s")).select("a", "b", "_s.*").checkpoint()
+    if not len(cells):
+        return compared.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.lit(0.0).alias("score")).limit(0)
     scores = F.broadcast(spark.createDataFrame(cells.drop(columns="n"), ", ".join(f"{c} int" for c in shape) + ", score double"))
     links = compared.join(scores, shape).where(F.col("score") >= LEAST_SCORE).select("a", "b", "score")
     links = links.join(named.select(F.col("id").alias("a"), F.col("name").alias("_a")), "a").join(named.select(F.col("id").alias("b"), F.col("name").alias("_b")), "b")

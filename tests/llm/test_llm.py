@@ -209,6 +209,20 @@ def test_crowded_names(spark):
     assert {(r["a"], r["b"]): r["stratum"] for r in got} == {(f"{i:02}", f"{j:02}"): 1 if j < 2 else 4 for i in range(17) for j in range(i + 1, 17)} and len(got) == 136
 
 
+def test_names_of_many_ids_meet_without_a_fact(spark):
+    # Twenty ids of one name: most share a place, one tells nothing.
+    crowd = [(f"c{i:02}", "Thạch Tợi Báng Đấm", "Quê Chình Xầm.") for i in range(18)] + [("u", "Thạch Tợi Báng Đấm", None), ("v", "Thạch Tợi Báng Đấm", "Quê Chình Xầm.")]
+    filler = [(f"z{i:03}", f"Khương {chr(97 + i % 26)}{chr(97 + i // 26)}a Moi Lan", "Quê Vùng Xa.") for i in range(300)]
+    df = spark.createDataFrame([(i, n, [], "Person", d, None, None) for i, n, d in crowd + filler], "id string, name string, aliases array<string>, type string, description string, start_year int, end_year int")
+    got = {(r["id_a"], r["id_b"]) for r in same_names(df).collect() if not r["id_a"].startswith("z")}
+    assert got == {(a, b) for a, *_ in crowd for b, *_ in crowd if a < b}
+    # A rare phrase in common is a fact, too.
+    told = [("u", "Thạch Tợi Báng Đấm", "thợ rèn mù một mắt"), ("v", "Thạch Tợi Báng Đấm", "thợ rèn mù một mắt")] + [(f"c{i:02}", "Thạch Tợi Báng Đấm", f"Quê Vùng {chr(65 + i)}a.") for i in range(18)]
+    filler = [(f"z{i:04}", f"Khương {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}a Moi Lan", f"Quê Núi {chr(97 + i % 30 % 26)}{chr(97 + i % 30 // 26)}a.".title()) for i in range(900)]
+    df = spark.createDataFrame([(i, n, [], "Person", d, None, None) for i, n, d in told + filler], "id string, name string, aliases array<string>, type string, description string, start_year int, end_year int")
+    assert [(r["a"], r["b"]) for r in name_links(df).collect() if not r["a"].startswith("z")] == [("u", "v")]
+
+
 def test_name_weights():
     # 900 pairs of namesakes of whom a third agree in their years, and as many random pairs: shares and weights follow the data.
     rows = [(1, 8, 0, 0, 0, 300), (1, 4, 0, 0, 0, 590), (1, 8, 0, 0, 2, 1), (65 * 9, 8, 0, 0, 0, 5), (65 * 9, 4, 0, 0, 0, 5000)]
