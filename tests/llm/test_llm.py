@@ -303,6 +303,19 @@ def test_survivors(spark):
     assert survivors(field_values(df.limit(0), trust)).count() == 0
 
 
+def test_priority_is_an_order(spark):
+    # The strict order is one aggregation, without an alignment that can't change it; it names what the vote would.
+    rng = np.random.default_rng(4)
+    rows = [(str(g), "description", " ".join(rng.choice(["a", "b", "c", "d"], rng.integers(1, 6))), 20 * g + k, int(rng.integers(3)), None) for g in range(200) for k in range(12)]
+    got = survivors(spark.createDataFrame(rows, "id string, field_name string, value string, rec_id long, trust int, updated_at timestamp"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    told = {r["id"]: (r["value"], r["rec_id"]) for r in got.collect()}
+    for g in range(200):
+        ranked = sorted((r for r in rows if r[0] == str(g)), key=lambda r: (-r[4], -r[3]))
+        values = list(dict.fromkeys(r[2] for r in ranked))
+        assert told[str(g)] == (values[nearest(values, [2.0**-i for i in range(len(values))])], ranked[0][3])
+
+
 def test_large_group(spark):
     df = spark.range(3000).select(F.lit("g").alias("id"), F.col("id").alias("rec_id"), F.concat(F.lit("vua nước "), F.col("id").cast("string")).alias("description"), F.lit(1000).alias("start_year"), F.lit(None).cast("int").alias("end_year"), F.lit("s").alias("source"), F.lit(None).cast("timestamp").alias("updated_at"), F.lit(1).alias("ingested_at"))
     values = field_values(df, spark.createDataFrame([("s", 3)], "source string, trust int"))
