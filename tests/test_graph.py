@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from annales.config import DEFAULT
+from annales.functions.fuzzy import mean_ratio
 from annales.operators import browse, collect, context, extract, graph, periods, resolve, search, traverse
 from annales.plans import pipeline
 from annales.sources import files
@@ -141,6 +144,21 @@ def test_resolution_across_letters(spark):
     assert got == one and got[1] == got[2] and got[3] == got[4] and got[5] == got[6] and len(set(got.values())) == 5
 
 
+def test_fuzzy_pairs_whole(spark):
+    # No common word, blanks that aren't counted, repeated words, words put elsewhere, years of events; few comparisons in a crowd of one word.
+    rows = [("1", "Thăngxlongkinhthành", "Place", None), ("2", "Zthăngxlongkinhthành", "Place", None), ("3", "ly\t \t    thai     to", "Person", None), ("4", "ly thai to", "Person", None), ("5", "lan lan", "Person", None), ("6", "lan lam", "Person", None)]
+    rows += [("7", "khởi nghĩa ba đình lớn a", "Event", 1886), ("8", "a khởi nghĩa ba đình lớn", "Event", 1887), ("9", "khởi nghĩa ba đình lớn a", "Event", 1889), ("A", "khởi nghĩa ba đình lớn a", "Event", None)]
+    draw = random.Random(1)
+    crowd = [(f"c{i}", "khương " + " ".join(draw.choice("bcdghklmnpqrstvx") + draw.choice("aeiouyăâêôơưàèìòùáé") + draw.choice("cmnpt") for _ in range(3)), "Person", None) for i in range(400)]
+    df = spark.createDataFrame(rows + crowd, "id string, name string, type string, start_year int")
+    named = [(r[0], " ".join(r[1].lower().split()), r[2]) for r in rows[:6] + crowd]
+    want = {(a, b) for a, x, t in named for b, y, u in named if a < b and t == u and (t != "Person" or a[0] == b[0] == "c" or "c" not in a[0] + b[0]) and mean_ratio(x, y) >= 92}
+    got = {(r["id_a"], r["id_b"]) for r in resolve.fuzzy_pairs(df).collect()}
+    assert got == want | {("7", "8")} and {("1", "2"), ("3", "4"), ("5", "6")} <= got
+    names = df.where("type = 'Person'").select("type", F.lower("name").alias("_n")).distinct()
+    assert resolve._near_names(names, resolve.DEFAULT).where("_x <> _y").count() < 4000  # of 79,800 that share the word
+
+
 def test_selection(spark):
     kind, chosen = collect.profile("era:e1", [{"id": "p", "era_id": "e1"}, {"id": "q", "era_id": "e2"}])
     assert kind == "era" and [p["id"] for p in chosen] == ["p"] and collect.profile("mini", [])[0] == "mini"
