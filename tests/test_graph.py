@@ -144,6 +144,18 @@ def test_resolution_across_letters(spark):
     assert got == one and got[1] == got[2] and got[3] == got[4] and got[5] == got[6] and len(set(got.values())) == 5
 
 
+def test_resolution_of_many_groups(spark):
+    # Thousands of groups aren't a call of Python each, and one that goes on from batch to batch stays one; repeats aren't held again.
+    rows = [(i, f"Hoa Lư {i % 3000:04}" if i % 2 else "Đại Việt", "Place", None, f"Q{i % 3000}" if i % 2 else None, ["Đại  Việt xưa"] if not i % 4 else None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "seq long, name string, type string, start_year int, qid string, aliases array<string>").withColumn("g", F.when(F.col("seq") % 2 == 1, F.col("seq") % 3000))
+    resolved = resolve.resolve_mentions(df, "g")
+    assert "FlatMapGroups" not in resolved._jdf.queryExecution().toString()
+    got = {r["seq"]: r["entity_id"] for r in resolved.collect()}
+    assert got == {i: f"qid:Q{i % 3000}" if i % 2 else "local:dai-viet" for i in range(6000)}
+    resolver = resolve.Resolver()
+    assert {resolver.resolve("Đại Việt", "Place", None, None, "local:x", ["Đại Việt xưa"]) for _ in range(50)} == {"local:x"} and len(resolver.by_type["Place"]) == 2
+
+
 def test_fuzzy_pairs_whole(spark):
     # No common word, blanks that aren't counted, repeated words, words put elsewhere, years of events; few comparisons in a crowd of one word.
     rows = [("1", "Thăngxlongkinhthành", "Place", None), ("2", "Zthăngxlongkinhthành", "Place", None), ("3", "ly\t \t    thai     to", "Person", None), ("4", "ly thai to", "Person", None), ("5", "lan lan", "Person", None), ("6", "lan lam", "Person", None)]
